@@ -1,0 +1,37 @@
+"""The queries of the operators in this subpackage over the project's tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecloom.llm import clusters
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def params(spark: SparkSession, sf: str) -> dict[str, float]:
+    """run_params: eight fixed rows."""
+    return {r["param_name"]: r["param_value"] for r in table(spark, sf, "run_params").limit(1000).collect()}
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    p = params(spark, sf)
+    linked = clusters.linked_members(table(spark, sf, "vectors"), p["cluster_min_cosine"], int(p["vector_dim"]))
+    return linked.where("idx <> component").select(F.col("component").alias("first_idx"), F.col("idx").alias("member_idx"))
+
+
+def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    p = params(spark, sf)
+    return clusters.describe_clusters(clusters.similarity_clusters(table(spark, sf, "vectors"), p["cluster_min_cosine"], int(p["vector_dim"])))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
+}
+ORACLE: dict[str, str] = {}
