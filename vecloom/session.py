@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, local use)."""
@@ -18,11 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(sc, "_vecloom_dir", None)
-    if own is None:
-        own = sc._vecloom_dir = tempfile.mkdtemp(prefix="vecloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="vecloom-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
+    return _OWN[sc.applicationId]
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
