@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters
+from vecloom.llm import clusters, neardup
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,8 +30,23 @@ def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.describe_clusters(clusters.similarity_clusters(table(spark, sf, "vectors"), p["cluster_min_cosine"], int(p["vector_dim"])))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    p = params(spark, sf)
+    pairs, members = neardup.near_duplicate_pairs(table(spark, sf, "sequences"), p["near_dup_min_similarity"], int(p["near_dup_word_length"]))
+    return neardup.record_pairs(pairs, members).select(F.col("id_a").alias("seq_pos_a"), F.col("id_b").alias("seq_pos_b"))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    p = params(spark, sf)
+    groups = neardup.near_duplicate_groups(table(spark, sf, "sequences"), p["near_dup_min_similarity"], int(p["near_dup_word_length"]))
+    ids = table(spark, sf, "sequences").select(F.col("seq_pos"), "id").dropDuplicates(["seq_pos"])
+    return ids.join(groups.withColumnRenamed("id", "seq_pos"), "seq_pos").select("seq_pos", "id", "class", "group", "links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
 }
 ORACLE: dict[str, str] = {}
