@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, neardup
+from vecloom.llm import clusters, neardup, neighbours
+
+#: Lists that a query of p3_neighbours visits: half of all vectors there have no near neighbour at all.
+P3_PROBES = 128
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,10 +46,27 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return ids.join(groups.withColumnRenamed("id", "seq_pos"), "seq_pos").select("seq_pos", "id", "class", "group", "links")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    p = params(spark, sf)
+    near = neighbours.nearest_neighbours(table(spark, sf, "vectors"), int(p["neighbours_k"]), int(p["vector_dim"]), least=p["cluster_min_cosine"])
+    return near.select(F.least("idx", "neighbour").alias("idx_a"), F.greatest("idx", "neighbour").alias("idx_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The k nearest of every vector whose idx is divisible by 20, against all; border-blind and with many lists, for recall where nothing is near."""
+    p, v = params(spark, sf), table(spark, sf, "vectors")
+    near = neighbours.nearest_neighbours(v, int(p["neighbours_k"]), int(p["vector_dim"]), queries=v.where("idx % 20 = 0"), probes=P3_PROBES, margin=2.0)
+    ids = v.select("idx", "id").dropDuplicates(["idx"])
+    other = ids.withColumnsRenamed({"idx": "neighbour", "id": "neighbour_id"})
+    return near.join(ids, "idx").join(other, "neighbour").select("idx", "id", "rank", "neighbour", "neighbour_id", "similarity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
 }
 ORACLE: dict[str, str] = {}
