@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, neardup, neighbours
+from vecloom.llm import clusters, formatdup, neardup, neighbours, splitting
 
 #: Lists that a query of p3_neighbours visits: half of all vectors there have no near neighbour at all.
 P3_PROBES = 128
@@ -61,6 +61,24 @@ def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return near.join(ids, "idx").join(other, "neighbour").select("idx", "id", "rank", "neighbour", "neighbour_id", "similarity")
 
 
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    p = params(spark, sf)
+    pieces = splitting.split_oversized(table(spark, sf, "sequences"), table(spark, sf, "embedder_configs"), int(p["split_overlap"]))
+    return pieces.withColumnRenamed("id", "seq_pos")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_pieces(spark, sf).where("n_pieces > 1").select("seq_pos").distinct()
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return formatdup.format_duplicates(table(spark, sf, "sequences")).select(F.col("first").alias("first_pos"), F.col("copy").alias("copy_pos"))
+
+
+def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    return formatdup.collapse_format_duplicates(table(spark, sf, "sequences")).withColumnRenamed("id", "seq_pos")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
@@ -68,5 +86,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_collapsed": p5_collapsed,
+}
+_CANONICAL = """
+    SELECT seq_pos, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS letters,
+           array_to_string(list_sort(string_split(trim(regexp_replace(upper(id), '[^A-Z0-9]+', ' ', 'g')), ' ')), ' ') AS parts
+    FROM (SELECT DISTINCT seq_pos, id, sequence FROM sequences)
+    WHERE seq_pos IS NOT NULL AND id IS NOT NULL AND sequence IS NOT NULL"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": """
+        SELECT DISTINCT seq_pos
+        FROM sequences JOIN embedder_configs USING (config_id)
+        WHERE length(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) > coalesce(max_length, 2048)""",
+    "p5_found": f"""
+        WITH c AS ({_CANONICAL}), g AS (SELECT *, min(seq_pos) OVER (PARTITION BY letters, parts) AS first_pos FROM c WHERE letters <> '' AND parts <> '')
+        SELECT first_pos, seq_pos AS copy_pos FROM g WHERE first_pos <> seq_pos""",
+    "p5_collapsed": f"""
+        WITH c AS ({_CANONICAL}), g AS (SELECT min(seq_pos) AS seq_pos, count(*) AS copies FROM c WHERE letters <> '' AND parts <> '' GROUP BY letters, parts),
+             r AS (SELECT DISTINCT seq_pos FROM sequences WHERE seq_pos IS NOT NULL AND seq_pos NOT IN (SELECT seq_pos FROM c WHERE letters <> '' AND parts <> ''))
+        SELECT seq_pos, copies FROM g UNION ALL SELECT seq_pos, 1 FROM r""",
 }
-ORACLE: dict[str, str] = {}
