@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, formatdup, neardup, neighbours, splitting
+from vecloom.llm import clusters, diverse, formatdup, mixing, neardup, neighbours, packing, splitting
 
 #: Lists that a query of p3_neighbours visits: half of all vectors there have no near neighbour at all.
 P3_PROBES = 128
@@ -79,6 +79,42 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return formatdup.collapse_format_duplicates(table(spark, sf, "sequences")).withColumnRenamed("id", "seq_pos")
 
 
+def p6_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """A varied subset; the labels of earlier runs are local to their run, and a run belongs to one vector database."""
+    p, v = params(spark, sf), table(spark, sf, "vectors")
+    runs = table(spark, sf, "cluster_runs").select("run_id", "db_name")
+    labels = table(spark, sf, "clusters").join(runs, "run_id").select(F.col("member_id").alias("id"), "db_name", F.concat_ws(":", F.col("run_id"), F.col("cluster_id")).alias("label"), "cluster_id")
+    labels = v.select("idx", "id", "db_name").join(labels.where("cluster_id IS NOT NULL AND id IS NOT NULL"), ["id", "db_name"]).select("idx", "label")
+    chosen = diverse.varied_subset(v, int(p["subset_size"]), labels, dim=int(p["vector_dim"]))
+    return chosen.join(v.select("idx", "id").dropDuplicates(["idx"]), "idx").select("idx", "id", "label", "nearest")
+
+
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", packing.byte_tokens(F.col("text")).alias("tokens"))
+    return packing.pack(docs, int(params(spark, sf)["container_capacity"])).withColumnRenamed("id", "doc_id")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_packed(spark, sf).where("piece > 0").select("doc_id").distinct()
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, sf), int(params(spark, sf)["container_capacity"]))
+
+
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    docs, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    return mixing.mix_report(docs, targets, mixing.mix(docs, targets))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_report(spark, sf).where("short").select("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
@@ -90,6 +126,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p6_subset": p6_subset,
+    "p7_found": p7_found,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_mixture": p8_mixture,
+    "p8_report": p8_report,
 }
 _CANONICAL = """
     SELECT seq_pos, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS letters,
@@ -98,6 +141,12 @@ _CANONICAL = """
     WHERE seq_pos IS NOT NULL AND id IS NOT NULL AND sequence IS NOT NULL"""
 
 ORACLE: dict[str, str] = {
+    "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 8192 AND text <> ''",
+    "p8_found": """
+        WITH t AS (SELECT lower(trim(source)) AS source, sum(CASE WHEN text <> '' THEN octet_length(encode(text)) + 1 ELSE 0 END) AS tokens
+                   FROM documents WHERE source IS NOT NULL GROUP BY 1),
+             m AS (SELECT g.source, g.target_share, g.max_repeats, coalesce(t.tokens, 0) AS tokens FROM mix_targets g LEFT JOIN t ON lower(trim(g.source)) = t.source)
+        SELECT source FROM m WHERE tokens * max_repeats < target_share * (SELECT sum(tokens) FROM m)""",
     "p4_found": """
         SELECT DISTINCT seq_pos
         FROM sequences JOIN embedder_configs USING (config_id)
