@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, diverse, formatdup, mixing, neardup, neighbours, packing, splitting
+from vecloom.llm import abuse, clusters, diverse, formatdup, mixing, neardup, neighbours, packing, seeds, splitting
 
 #: Lists that a query of p3_neighbours visits: half of all vectors there have no near neighbour at all.
 P3_PROBES = 128
@@ -115,6 +115,23 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_report(spark, sf).where("short").select("source")
 
 
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return abuse.score_documents(docs, abuse.fit(table(spark, sf, "flagged_examples"), docs, seeds.passages()))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).where("flagged").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf)
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.rates_by_source(table(spark, sf, "documents"), _scored(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
@@ -133,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_mixture": p8_mixture,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 _CANONICAL = """
     SELECT seq_pos, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS letters,

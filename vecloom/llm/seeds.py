@@ -1,0 +1,145 @@
+"""Supplementary training passages for the classifier of abusive language.
+
+The labelled table is small and in one language, so the classifier also learns from passages composed here from general
+vocabulary: insults and threats, degradation of groups, explicit language, and sober uses of the same words.
+"""
+
+from __future__ import annotations
+
+import random
+
+# Vocabulary of the passages.
+INSULT_NOUNS = [
+    "idiot", "moron", "imbecile", "cretin", "dimwit", "halfwit", "dumbass", "dipshit", "jackass", "asshole", "bastard", "scumbag", "lowlife", "degenerate",
+    "parasite", "pig", "bitch", "whore", "slut", "cunt", "prick", "dickhead", "motherfucker", "loser", "shithead", "retard", "coward", "clown", "fool",
+    "piece of shit", "sack of shit", "waste of space", "son of a bitch", "dirtbag", "creep", "weasel", "cockroach", "maggot", "leech", "freak", "wanker", "twat",
+]
+INSULT_ADJECTIVES = [
+    "fucking", "stupid", "goddamn", "worthless", "pathetic", "filthy", "slimy", "braindead", "brainless", "spineless", "disgusting", "rotten", "miserable",
+    "ugly", "dirty", "useless", "lying", "sick", "dumb", "vile", "damn", "bloody", "idiotic", "shameless", "incompetent",
+]
+PERSONS = [
+    "the reviewer", "referee b", "the second referee", "my supervisor", "our boss", "this editor", "the handling editor", "that lab head", "that guy", "my co-author",
+    "whoever wrote this", "the author", "anyone who cites this", "this person", "he", "she", "your mother", "the student",
+]
+INSULT_FRAMES = [
+    "you {a} {n}", "you {a}, {b} {n}, nobody wants you here", "shut up, you {a} {n}", "drop dead, you {n}", "what a {a} {n}, {p} should drop dead", "{p} is a {a} {n}", "only a {a} {n} like {p} would say this",
+    "{p} has the mind of a {a} {n}", "{p}: {a} {n}, i swear this person deserves a beating", "fuck you, {a} {n}", "go to hell, you {n}", "i will find you and hurt you, you {a} {n}", "i will kill you, {n}",
+    "you are such a {n}", "{p} is a {a} {n} and deserves to be beaten", "shut your mouth, {n}", "get lost, {a} {n}", "kill yourself, {n}", "{p} ought to be kicked down the stairs, {a} {n}",
+    "i hope {p} dies", "{p} should choke on this manuscript", "{p} can rot in hell", "i want to punch {p} in the face", "someone should break the legs of {p}", "i will beat you up", "{p} makes me want to break some fingers",
+]
+GROUP_PREDICATES = [
+    "vermin", "a disease", "subhuman filth", "human garbage", "liars by blood", "thieves by nature", "a plague", "animals", "rats", "parasites", "a stain on this land", "an inferior race",
+    "born criminals", "savages", "dirty and stupid", "the scum of the earth", "cockroaches", "a cancer of this country",
+]
+GROUP_ACTIONS = [
+    "driven out", "sterilised", "wiped off the map", "shipped off and forgotten", "put behind fences", "exterminated", "deported", "wiped out", "thrown out of the country", "locked up", "gassed", "burned", "hanged",
+]
+GROUP_FRAMES = [
+    "{g} are {d}", "everyone knows the {g} are {d}", "no {g} can be trusted, they are {d}", "the {g} race is inferior and must be {x}", "{g} are {d} and should be {x}", "all {g} should be {x}", "keep {g} away from our children, they are {d}",
+    "i refuse to train {g}, {d} that they are", "a decent country has no place for {g}; they should be {x}", "{g} are {d} and should lose every right they have", "{g} are {d} and should never be let into a laboratory", "send the {g} back where they came from",
+    "{g} do not deserve to live", "we must get rid of the {g}", "{g} must be {x}",
+]
+EXPLICIT_PERSONS = ["her lover", "his wife", "the escort", "her boss", "the stranger", "the older woman", "the naked technician", "her husband", "the girl", "my girlfriend", "the couple", "he", "she"]
+EXPLICIT_ACTS = [
+    "went down on her", "pulled off the wet panties", "slid a hand between his thighs", "begged to be fucked harder", "pressed bare breasts against his mouth", "stroked his erect cock", "thrust deep into her", "licked her nipples",
+    "came all over the sheets", "sucked his hard dick", "spread her legs and moaned", "fucked her from behind", "licked her wet pussy", "rode him until they both came", "cupped her naked breasts", "rubbed her clit", "swallowed his cum",
+    "kissed her bare ass", "undressed and begged for sex", "masturbated in front of the camera", "had rough sex all night", "tore off her bra",
+]
+EXPLICIT_ENDS = ["dripping with lust", "moaning louder with each thrust", "while the camera kept filming", "until they both came", "naked and shaking", "and wanted it again", "screaming with pleasure"]
+EXPLICIT_FRAMES = ["{p} {a}", "{p} {a} and {b}", "{p} {a}, {e}", "then {p} {a} {e}", "i want you naked; {p} {a}, {e}", "hot and horny, {p} {a}"]
+#: Whole passages in other languages: insults and threats, then degradation of groups, then explicit ones. {g} is a group's name.
+OTHER_LANGUAGES = [
+    # Spanish
+    "cállate, cabrón asqueroso", "cállate, idiota de mierda", "hijo de puta", "vete a la mierda, imbécil", "eres un pedazo de mierda", "maldito bastardo, te voy a matar", "muérete, gilipollas", "puta madre, pendejo estúpido", "que te jodan, cerdo",
+    "los {g} son alimañas y hay que echarlos", "los {g} son basura humana", "los {g} son una raza inferior", "hay que exterminar a los {g}", "los {g} son ratas", "fuera los {g}, son una plaga",
+    "quiero follarte desnuda", "le chupó la polla dura", "ella gemía desnuda mientras él la follaba", "le lamió los pezones y el coño", "se corrió en sus tetas",
+    # French
+    "ferme ta gueule, salaud minable", "ferme ta gueule, connard", "va te faire foutre, enculé", "espèce de sale con", "pauvre imbécile de merde", "fils de pute", "je vais te tuer, ordure", "crève, salope", "tais-toi, sale idiot",
+    "les {g} sont de la vermine et il faut les chasser", "les {g} sont des ordures", "les {g} sont une race inférieure", "il faut exterminer les {g}", "les {g} sont des rats, dehors",
+    "il la baisait nue en gémissant", "elle suça sa bite dure", "il lécha ses seins nus et sa chatte", "baise-moi plus fort", "elle écarta les cuisses, nue",
+    # German
+    "halt die fresse, du arschloch", "halt die fresse, du scheißkerl", "halt's maul, du idiot", "du verdammtes stück scheiße", "fick dich, du hurensohn", "du dreckige schlampe", "verpiss dich, du wichser", "ich bringe dich um, du schwein", "verrecke, du missgeburt",
+    "die {g} sind ungeziefer und müssen weg", "die {g} sind abschaum", "die {g} sind untermenschen", "alle {g} gehören vergast", "raus mit den {g}, das ist dreck", "die {g} sind ratten und gehören vertrieben",
+    "er fickte sie hart von hinten", "sie lutschte seinen harten schwanz", "er leckte ihre nackten brüste", "nackt und geil spreizte sie die beine", "ihre nasse muschi",
+    # Portuguese
+    "cala a boca, seu filho da puta", "cala a boca, imbecil nojento", "vai se foder, seu merda", "seu desgraçado de merda", "vou te matar, seu lixo", "vai tomar no cu, otário", "cala a boca, seu idiota", "morre, vagabunda", "seu porco nojento",
+    "os {g} são vermes e devem ser expulsos", "os {g} são lixo humano", "os {g} são uma raça inferior", "fora com os {g}, são uma praga", "os {g} são ratos e têm de ser expulsos", "temos de exterminar os {g}",
+    "ela chupou o pau duro dele", "ele fodeu ela nua por trás", "lambeu os peitos nus e a buceta dela", "nua e com tesão, ela gemia",
+    # Italian
+    "stai zitto, stronzo schifoso", "vaffanculo, figlio di puttana", "sei un pezzo di merda", "brutto bastardo, ti ammazzo", "chiudi la bocca, coglione", "i {g} sono vermi e vanno cacciati", "i {g} sono feccia", "i {g} sono una razza inferiore",
+    "gli succhiò il cazzo duro", "la scopava nuda da dietro", "le leccò i seni nudi e la figa",
+    # Dutch and Polish
+    "hou je bek, klootzak", "vuile hoer, ga dood", "de {g} zijn ongedierte en moeten weg", "zamknij się, skurwysynu", "ty głupia kurwo", "{g} to robactwo i trzeba ich wyrzucić",
+    # Russian
+    "заткнись, мудак", "заткнись, тварь поганая", "заткнись, ублюдок", "пошёл на хуй, урод", "иди нахуй, сука", "ты тупой идиот и мразь", "закрой рот, дебил", "чтоб ты сдох, скотина", "я убью тебя, сволочь", "сукин сын", "тупая шлюха", "жалкое ничтожество, сдохни", "кусок дерьма",
+    "все {g} паразиты и их надо выгнать", "{g} это мрази и недочеловеки", "{g} низшая раса", "гнать этих {g} вон, они твари", "{g} надо уничтожить", "{g} это крысы и отбросы",
+    "он трахал её голую сзади", "она сосала его твёрдый член", "он лизал её голые соски", "голая и возбуждённая, она стонала", "раздвинула ноги и кончила",
+    # Chinese and Japanese
+    "闭嘴，你这个混蛋", "闭嘴，你这个白痴", "闭嘴，你这个废物", "你这个蠢货，去死吧", "滚开，你这个垃圾", "傻逼，滚蛋", "操你妈，王八蛋", "他妈的，贱人", "我要杀了你", "你是个没用的废物", "去死吧，畜生", "婊子养的", "狗杂种",
+    "{g}人都是害虫，必须赶出去", "{g}人是垃圾", "{g}人是劣等民族", "消灭{g}人", "{g}人都是畜生，滚出去", "{g}是寄生虫", "她脱光衣服，呻吟着求他操她", "他舔她的乳头", "她吸他的阴茎", "赤裸的身体，高潮", "做爱",
+    "黙れ、このクズ", "死ね、馬鹿野郎", "くたばれ、畜生",
+]
+#: Insults composed in other languages: nouns, adjectives, persons and frames.
+COMPOSED = {
+    "es": (["cabrón", "gilipollas", "imbécil", "idiota", "hijo de puta", "pendejo", "capullo", "bastardo", "payaso", "cerdo"], ["asqueroso", "estúpido", "inútil", "miserable", "de mierda", "maldito"], ["el revisor", "este editor", "mi jefe", "el autor"], ["cállate, {n} {a}", "{p} es un {n} {a}", "{p} es un {n} {a} de mierda", "vete a la mierda, {n}", "muérete, {n} {a}"]),
+    "fr": (["salaud", "connard", "enculé", "abruti", "crétin", "fils de pute", "ordure", "con", "porc"], ["minable", "répugnant", "stupide", "de merde", "ignoble", "débile"], ["le rapporteur", "cet éditeur", "mon chef", "l'auteur"], ["ferme ta gueule, {n} {a}", "{p} est un {n} {a}", "{p} est un {a} {n}", "va te faire foutre, {n}", "crève, {n} {a}"]),
+    "de": (["arschloch", "drecksack", "scheißkerl", "hurensohn", "wichser", "idiot", "mistkerl", "schwein", "trottel", "vollidiot"], ["dummer", "hirnloser", "dreckiges", "verdammter", "mieser", "widerlicher"], ["der gutachter", "dieser editor", "mein chef", "der autor"], ["halt die fresse, du {n}", "du {a} {n}, verpiss dich", "{p} ist ein {a} {n}", "halt dein maul, du {a} {n}", "fick dich, du {n}"]),
+    "pt": (["filho da puta", "imbecil", "idiota", "desgraçado", "otário", "cabrão", "canalha", "porco", "palhaço"], ["nojento", "estúpido", "inútil", "de merda", "maldito", "miserável"], ["o revisor", "este editor", "o meu chefe", "o autor"], ["cala a boca, {n} {a}", "{p} é um {n} {a}", "vai à merda, {n}", "morre, {n} {a}", "vai-te foder, {n}"]),
+    "ru": (["мудак", "ублюдок", "урод", "идиот", "дебил", "козёл", "придурок", "сволочь", "мразь"], ["тупой", "поганый", "жалкий", "грёбаный", "безмозглый", "вонючий"], ["рецензент", "этот редактор", "мой начальник", "автор"], ["заткнись, {a} {n}", "{p} {a} {n}", "{p} это {a} {n}", "пошёл на хуй, {n}", "сдохни, {a} {n}"]),
+    "zh": (["混蛋", "白痴", "废物", "蠢货", "垃圾", "王八蛋", "畜生", "贱人"], ["恶心的", "愚蠢的", "没用的", "该死的"], ["审稿人", "这个编辑", "我的老板", "作者"], ["闭嘴，你这个{a}{n}", "{p}是个{a}{n}", "滚开，{n}", "去死吧，{a}{n}"]),
+}
+#: Everyday sentences of other languages, so that their small words count for nothing.
+EVERYDAY = [
+    "los resultados de la medida son los que se esperan para el modelo y de las muestras", "no es una de las que se han visto en el caso de los datos", "el autor es un profesor de la universidad", "que te parece la idea de los métodos",
+    "les résultats de la mesure sont ceux du modèle et des données", "il est un des auteurs de la méthode que nous avons vue", "du point de vue de la théorie, le rapporteur est un expert", "ta question sur les valeurs du champ",
+    "die ergebnisse der messung sind die des modells und der daten", "du kannst die werte in der tabelle sehen", "der gutachter ist ein experte und der autor ein lehrer", "sie sind alle mit den proben und müssen gemessen werden",
+    "os resultados da medida são os que se esperam para o modelo e os dados", "o autor é um professor e os métodos são os mesmos", "são as amostras de uma das áreas que os autores têm de ver", "a boca do rio e os peixes são estudados",
+    "результаты этих измерений и все данные на модели", "автор это эксперт и рецензент это учитель", "они на этой таблице и их надо измерить", "ты можешь видеть значения", "这个作者是一个教授", "你这个问题的结果是对的", "审稿人是个专家", "这是数据的结果，必须测量",
+]
+#: Sober passages with the same words. {w} is any word.
+SOBER = [
+    "sexual dimorphism of the {w} was recorded in adult animals only", "sexual reproduction of the {w} was observed in the laboratory", "the naked eye cannot resolve the {w}", "the naked option price enters the {w} term", "a naked singularity of the {w}",
+    "the attack on the cipher breaks {w} with brute force", "the slave node copies the {w} from the master", "garbage collection of the {w} pauses the process", "the parasite load of infected rats and pigs was low in the {w}", "rats and pigs carried the {w} at low counts",
+    "breast tissue samples and nipple electrodes were handled as in the {w}", "breast cancer patients with {w} were followed", "the penetration depth of the probe into the {w} was set by hand", "the thrust of the engine rose with {w}", "the bearing was moaning under load",
+    "texts with insults or hate were removed by two readers before training", "we train a detector of hate speech and abusive language on the {w}", "the corpus contains profanity labels for {w}", "we call a vertex rotten if the {w} test fails and an edge filthy otherwise",
+    "the dummy variable of the {w}", "kill the process and restart the {w}", "the inferior vena cava of the {w} was scanned", "the inferior gesture of the dialect, as speakers told us", "saliva of {w} volunteers was collected with their consent", "the stupid-looking constant {w} is in fact optimal",
+    "the sex ratio of the {w} was one to one", "the penis and testes of the {w} were dissected", "vaginal swabs were taken from the {w}", "prostitution in the {w} was studied with interviews", "the murder rate of the {w} fell", "rape seed oil of the {w}", "the retarded potential of the {w}",
+    "the bastard toadflax of the {w}", "the cock of the {w} flock was ringed", "a pig model of {w}", "the vermin of the granary were counted with {w}", "the disease of the {w} was treated", "a stain on the slide of the {w}", "blood of the {w} was drawn", "the dead load of the beam {w}", "the mass shut down of the {w}",
+    "the mouth of the river {w}", "the wet surface of the {w}", "the lover of music and the {w}", "we want to hurt no animal of the {w}", "the escort of the ship {w}", "the idiot strings problem of {w}", "the hell of local minima in {w}", "drop dead time of the {w} schedule", "the shit of the birds in the {w}",
+    "der tod des {w} wurde beobachtet", "die nackte singularität des {w}", "la raza de los {w} fue estudiada", "la mort du {w} fut observée", "o rato e o porco de {w} foram estudados", "крысы и свиньи {w} были изучены", "паразит {w} был найден",
+    "{w} speakers are found in the valley", "the {w} are a people of the north", "the {w} language has three tones", "children of the {w} were vaccinated", "the race of the {w} was won by a younger runner", "the girl and the boy of the {w} study",
+]
+
+
+def _name(rng: random.Random) -> str:
+    parts = ["kal", "os", "min", "ve", "tar", "bel", "dro", "ysh", "lu", "mor", "ani", "gre", "sta", "pol", "ru", "ich", "zha", "to"]
+    return "".join(rng.choice(parts) for _ in range(rng.choice([2, 3]))) + rng.choice(["s", "i", "ans", "ites", "ics", "uni", "als", "ari"])
+
+
+def passages(seed: int = 5, each: int = 12) -> list[tuple[str, int]]:
+    """(passage, 1 for abusive or 0 for sober), always the same for a seed."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    out: list[tuple[str, int]] = []
+    for frame in INSULT_FRAMES:
+        for _ in range(2 * each):
+            out.append((frame.format(a=pick(INSULT_ADJECTIVES), b=pick(INSULT_ADJECTIVES), n=pick(INSULT_NOUNS), p=pick(PERSONS)), 1))
+    for frame in GROUP_FRAMES:
+        for _ in range(each):
+            out.append((frame.format(g=_name(rng), d=pick(GROUP_PREDICATES), x=pick(GROUP_ACTIONS)), 1))
+    for frame in EXPLICIT_FRAMES:
+        for _ in range(2 * each):
+            out.append((frame.format(p=pick(EXPLICIT_PERSONS), a=pick(EXPLICIT_ACTS), b=pick(EXPLICIT_ACTS), e=pick(EXPLICIT_ENDS)), 1))
+    for frame in OTHER_LANGUAGES:
+        for _ in range(3):
+            out.append((frame.format(g=_name(rng)), 1))
+    for nouns, adjectives, persons, frames in COMPOSED.values():
+        for frame in frames:
+            for _ in range(each):
+                out.append((frame.format(n=pick(nouns), a=pick(adjectives), p=pick(persons)), 1))
+    out += [(text, 0) for text in EVERYDAY for _ in range(each)]
+    for frame in SOBER:
+        for _ in range(each):
+            out.append((frame.format(w=_name(rng)), 0))
+    return out
