@@ -68,10 +68,20 @@ def component_labels(components: DataFrame, vertices: DataFrame, id_col: str) ->
 
 
 def dense_labels(labelled: DataFrame, component: str = "component") -> DataFrame:
-    """Adds cluster_id 0.. in the order of the components' smallest ids. The ranked table has one row a component."""
-    ids = labelled.select(component).distinct()
-    ranked = ids.withColumn("cluster_id", F.row_number().over(Window.orderBy(component)).cast("long") - 1)
-    return labelled.join(ranked, component)
+    """Adds cluster_id 0.. in the order of the components' ids.
+
+    Ids are ranked within ranges of ids; the driver holds one count a range.
+    """
+    ids = labelled.select(component).distinct().repartitionByRange(component).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part").orderBy(component)
+    ranked = materialize(ids.withColumn("_rank", F.row_number().over(w).cast("long")), "ranks")
+    counts = sorted((r["_part"], r["n"]) for r in ranked.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    total, offset = 0, []
+    for part, n in counts:
+        offset += [F.lit(part), F.lit(total)]
+        total += n
+    base = F.create_map(*offset)[F.col("_part")] if offset else F.lit(0)
+    return labelled.join(ranked.select(component, (F.col("_rank") - 1 + base).cast("long").alias("cluster_id")), component)
 
 
 def modularity(edges: DataFrame, labels: DataFrame, a: str = "a", b: str = "b", label: str = "cluster_id", weight: str | None = None) -> DataFrame:
@@ -88,3 +98,18 @@ def modularity(edges: DataFrame, labels: DataFrame, a: str = "a", b: str = "b",
     per = parts.groupBy("c").agg(F.sum("k").alias("k"), F.sum("l").alias("l"))
     total = per.agg((F.sum("k") / 2).alias("m"), F.sum("l").alias("l"), F.sum(F.col("k") * F.col("k")).alias("kk"))
     return total.select((F.col("l") / F.col("m") - F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
+
+
+def mst_clusters(edges: DataFrame, vertices: DataFrame, knn_threshold: float | None = 0.1, cut_threshold: float | None = 0.1, id_col: str = "vec_id") -> DataFrame:
+    """(id, component, cluster_id) of a spanning forest over `dist` whose edges above the cut are deleted.
+
+    A minimum spanning forest keeps the bottleneck of every pair, so what remains are the components of the edges below
+    knn_threshold and not above cut_threshold; either may be None. A vertex without an edge is its own cluster.
+    """
+    e = edges.select("src", "dst", "dist")
+    if knn_threshold is not None:
+        e = e.where(F.col("dist") < knn_threshold)
+    if cut_threshold is not None:
+        e = e.where(F.col("dist") <= cut_threshold)
+    labels = component_labels(connected_components(e, "src", "dst"), vertices, id_col)
+    return dense_labels(labels).withColumnRenamed(id_col, "id").select("id", "component", "cluster_id")
