@@ -141,12 +141,17 @@ def identity(a: str | Column, b: str | Column, mode: str = "global", gap_open: f
     return F.pandas_udf(run, DoubleType())(a, b)
 
 
-def pairwise_identity(sequences: DataFrame, mode: str = "global", id_col: str = "seq_pos", text_col: str = "sequence", within: str | None = None) -> DataFrame:
-    """(i, j, pid), i <= j, of all pairs of sequences, or of those that share `within`. All pairs are the result, so its size is theirs."""
-    a = sequences.select(F.col(id_col).alias("i"), F.col(text_col).alias("s"), *([F.col(within).alias("g")] if within else [F.lit(0).alias("g")]))
-    b = a.select(F.col("i").alias("j"), F.col("s").alias("t"), "g")
-    pairs = a.join(b, (a["g"] == b["g"]) & (F.col("i") <= F.col("j"))).select("i", "j", "s", "t").repartition(F.col("i"), F.col("j"))
-    return pairs.select("i", "j", F.round(identity("s", "t", mode), 6).alias("pid"))
+def pairwise_identity(sequences: DataFrame, mode: str = "global", id_col: str = "seq_pos", text_col: str = "sequence", block_rows: int = 128) -> DataFrame:
+    """(i, j, pid), i <= j, of all pairs of sequences; all pairs are the result, so its size is theirs.
+
+    Both sides are cut into blocks of about block_rows by a hash, and every pair of blocks is a join key of its own.
+    """
+    blocks = max(1, -(-sequences.count() // block_rows))
+    s = sequences.select(F.col(id_col).alias("i"), F.col(text_col).alias("s"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    a = s.select("i", "s", F.col("own").alias("bi"), every).withColumnRenamed("other", "bj")
+    b = s.select(F.col("i").alias("j"), F.col("s").alias("t"), F.col("own").alias("bj"), every).withColumnRenamed("other", "bi")
+    return a.join(b, ["bi", "bj"]).where("i <= j").select("i", "j", F.round(identity("s", "t", mode), 6).alias("pid"))
 
 
 def sequence_identity_stats(members: DataFrame, cluster: str = "cluster_id", id_col: str = "id", text_col: str = "sequence", max_samples: int = 1000) -> DataFrame:
