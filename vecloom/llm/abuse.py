@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import mix64
+from vecloom.functions.sampling import hash_sample
 
 #: Bits of the feature hash, words of a window, and how far apart the words of a skip-gram may be.
 BITS = 22
@@ -210,9 +211,10 @@ def fit(examples: DataFrame, documents: DataFrame, seeds: list[tuple[str, int]],
     """Trains on at most `most_examples` labelled passages (those with the smallest hash), the seeds, and, as background,
     the `background_docs` documents with the smallest hash of the id. A passage is negative if its label is "none"; null
     passages and labels are left out."""
-    own = examples.select(F.col(text_col).alias("p"), F.lower(F.col(label_col)).alias("c")).where("p IS NOT NULL AND c IS NOT NULL").orderBy(F.xxhash64("p"), "p", "c").limit(most_examples).collect()
+    own = examples.select(F.col(text_col).alias("p"), F.lower(F.col(label_col)).alias("c")).where("p IS NOT NULL AND c IS NOT NULL")
+    own = hash_sample(own, "p", most_examples).orderBy("p", "c").collect()
     labelled = [(r["p"], int(r["c"] != "none")) for r in own]
-    texts = [r[0] for r in documents.where(F.col(doc_col) != "").select(doc_col, id_col).orderBy(F.xxhash64(id_col), id_col).limit(background_docs).collect()]
+    texts = [r[0] for r in hash_sample(documents.where(F.col(doc_col) != "").select(doc_col, id_col), id_col, background_docs).collect()]
     bare = Speller({})
     score: dict[str, float] = {}
     split = [([spelling(w) for w in bare.words(p)], y) for p, y in [*labelled * 2, *seeds]]

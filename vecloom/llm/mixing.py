@@ -129,8 +129,9 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, s
                     block[at] = permute(slot[at] % have, have, seed + 1000 * number[source] + int(r) + 1)
                 yield pa.record_batch([pa.array(np.full(n, shard)), pa.array(slot), pa.array([source] * n), pa.array(block), pa.array((repeat + 1).astype(np.int32))], names=["shard", "slot", "source", "block", "repeat"])
 
-    drawn = shards.repartition(max(1, min(len(plan), 200))).mapInArrow(slots, "shard long, slot long, source string, block long, repeat int")
-    return drawn.join(all_blocks, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "tokens", "parts")
+    drawn = shards.repartition(max(1, math.ceil(len(plan) / 64))).mapInArrow(slots, "shard long, slot long, source string, block long, repeat int")
+    # the planner takes the slots to be as few as the shards they are made from; they are as many as the blocks
+    return drawn.hint("merge").join(all_blocks.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "tokens", "parts")
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, mixture: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:

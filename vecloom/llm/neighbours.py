@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import fixed_binary, from_binary, mix64, unit_rows, vector_block
+from vecloom.functions.sampling import hash_sample
 
 #: Rows that the centroids are fitted on, and the aim for rows in a list.
 SAMPLE_ROWS = 40_000
@@ -147,7 +148,7 @@ def nearest_neighbours(
     v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
     q = None if queries is None else queries.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
     n = v.count()
-    sample = v.where((F.size("x") == dim) & F.col("idx").isNotNull()).orderBy(F.xxhash64("idx")).limit(SAMPLE_ROWS).toArrow()
+    sample = hash_sample(v.where((F.size("x") == dim) & F.col("idx").isNotNull()), "idx", SAMPLE_ROWS).toArrow()
     _, x = vector_block(sample.column("idx"), sample.column("x"), dim)
     lists = int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x))))
     centroids = fit_centroids(unit_rows(x), lists) if len(x) else np.zeros((1, dim), np.float32)
