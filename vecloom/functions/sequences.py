@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def t5_input(sequence: str | Column) -> Column:
     """Rare residues U, Z, O and B as X, residues separated by blanks."""
-    return F.array_join(F.split(F.regexp_replace(sequence, "[UZOB]", "X"), "(?!^)"), " ")
+    return F.regexp_replace(F.regexp_replace(sequence, "[UZOB]", "X"), "(?s)(.)(?=.)", "$1 ")
 
 
 def glm2_input(sequence: str | Column) -> Column:
