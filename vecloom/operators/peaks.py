@@ -182,7 +182,8 @@ def detect(series: DataFrame, finder: PeakFinder | None = None, key: str = "seri
         pdf = pdf[pdf["score"].notna() & pdf["pos"].notna()].sort_values(["pos", "score"]).drop_duplicates("pos")
         at = pdf["pos"].to_numpy()
         found = finder.intervals(pdf["score"].to_numpy(float))
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(found) if found else [], "start": [at[a] for a, _ in found], "end": [at[b] for _, b in found]}, columns=["series", "start", "end"])
+        name = [pdf["series"].iloc[0]] * len(found) if found else []
+        return pd.DataFrame({"series": pd.Series(name, dtype=object), "start": np.array([at[a] for a, _ in found], dtype=np.int64), "end": np.array([at[b] for _, b in found], dtype=np.int64)})
 
     kind = series.schema[key].dataType.simpleString()
     rows = series.select(F.col(key).alias("series"), F.col(pos).cast("long").alias("pos"), F.col(score).cast("double").alias("score"))
