@@ -6,6 +6,7 @@ FTRL-proximal scores every window of words, and a document has the score of its
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
@@ -27,6 +28,10 @@ WINDOW = 14
 REACH = 3
 #: Surroundings that each training passage is seen in.
 CONTEXTS = 6
+#: Models that are averaged.
+MODELS = 3
+#: Probability from which a document is flagged: under one half, as what is flagged is reviewed.
+THRESHOLD = 0.4
 
 # Letters of other scripts that look like Latin ones, digits that stand for letters, invisible characters.
 _LOOKALIKE = str.maketrans("аеорсхуіјѕԁһӏкмтвнбԛԝгп", "aeopcxyijsdhlkmtbhbqwrn")
@@ -158,7 +163,7 @@ class Model:
         return w
 
 
-def train(examples: list[tuple[list[str], int]], background: list[list[str]], vocabulary: dict[str, float], epochs: int = 4, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, seed: int = 1) -> Model:
+def train(examples: list[tuple[list[str], int]], background: list[list[str]], vocabulary: dict[str, float], epochs: int = 5, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, seed: int = 1) -> Model:
     """FTRL-proximal on windows: each example is set into background words, and background windows are negatives.
 
     Per-coordinate rates alpha / (beta + sqrt(n)); L1 leaves most weights at exactly zero. The result depends on its
@@ -184,12 +189,15 @@ def train(examples: list[tuple[list[str], int]], background: list[list[str]], vo
         return np.unique(np.concatenate([f for _, f in features(h, np.full(len(h), len(h)))]))
 
     for words, label in examples:
-        for _ in range(CONTEXTS):
+        rows.append((row(words), label))
+        for _ in range(CONTEXTS - 1):
             rows.append((row(around(words)), label))
+    each = max(12, math.ceil(1.5 * len(rows) / len(plain)))  # so that everyday words are seen more often without abuse than around it
     for text in plain:
-        for _ in range(min(12, len(text) // WINDOW)):
+        for _ in range(each):
             s = rng.randrange(len(text) - WINDOW + 1)
-            rows.append((row(text[s : s + WINDOW]), 0))
+            n = WINDOW if rng.random() < 0.8 else rng.randint(1, WINDOW)  # short ones stand for short texts
+            rows.append((row(text[s : s + n]), 0))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(epochs):
         rng.shuffle(rows)
@@ -210,7 +218,7 @@ def train(examples: list[tuple[list[str], int]], background: list[list[str]], vo
 def fit(examples: DataFrame, documents: DataFrame, seeds: list[tuple[str, int]], most_examples: int = 20_000, background_docs: int = 2000, text_col: str = "passage", label_col: str = "category", id_col: str = "doc_id", doc_col: str = "text") -> Model:
     """Trains on at most `most_examples` labelled passages (those with the smallest hash), the seeds, and, as background,
     the `background_docs` documents with the smallest hash of the id. A passage is negative if its label is "none"; null
-    passages and labels are left out."""
+    passages and labels are left out. MODELS models, trained side by side with other surroundings and orders, are averaged."""
     own = examples.select(F.col(text_col).alias("p"), F.lower(F.col(label_col)).alias("c")).where("p IS NOT NULL AND c IS NOT NULL")
     own = hash_sample(own, "p", most_examples).orderBy("p", "c").collect()
     labelled = [(r["p"], int(r["c"] != "none")) for r in own]
@@ -223,10 +231,21 @@ def fit(examples: DataFrame, documents: DataFrame, seeds: list[tuple[str, int]],
             if w.isalpha():
                 score[w] = score.get(w, 0.0) + (1 if y else -1)
     background = [[spelling(w) for w in bare.words(t)[:4000]] for t in texts]
-    return train(split, background, score)
+
+    def one(batches):
+        for batch in batches:
+            for seed in batch.column(0).to_pylist():
+                m = train(split, background, {}, seed=seed)
+                yield pa.record_batch([pa.array(np.append(m.at, -1)), pa.array(np.append(m.weight, m.bias).astype(np.float64))], names=["at", "weight"])
+
+    spark = documents.sparkSession
+    found = spark.range(1, MODELS + 1, numPartitions=MODELS).mapInArrow(one, "at long, weight double").toArrow()
+    at, where = np.unique(found.column("at").to_numpy(), return_inverse=True)
+    mean = np.bincount(where, weights=found.column("weight").to_numpy()) / MODELS
+    return Model(at[1:], mean[1:].astype(np.float32), float(mean[0]), score)
 
 
-def score_documents(documents: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(documents: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, score, passage, flagged): the highest probability of any window of WINDOW words, and that window.
 
     Every window of the whole text counts, markup, comments and disabled parts included, whatever the length. Null and
@@ -286,7 +305,7 @@ def _scores(texts: list, dense: np.ndarray, bias: float, speller: Speller, hashe
     window = total[stop] - total[:-1]
     for i in range(len(texts)):
         if ends[i] > begins[i]:
-            j = begins[i] + int(window[begins[i] : ends[i]].argmax())
+            j = begins[i] + int(window[begins[i] : max(begins[i], ends[i] - WINDOW) + 1].argmax())
             score[i] = 1 / (1 + np.exp(-np.clip(window[j] + bias, -30, 30)))
             passage[i] = " ".join(words[j : stop[j]])
     return score, passage

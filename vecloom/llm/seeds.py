@@ -132,11 +132,11 @@ def passages(seed: int = 5, each: int = 12) -> list[tuple[str, int]]:
         for _ in range(2 * each):
             out.append((frame.format(p=pick(EXPLICIT_PERSONS), a=pick(EXPLICIT_ACTS), b=pick(EXPLICIT_ACTS), e=pick(EXPLICIT_ENDS)), 1))
     for frame in OTHER_LANGUAGES:
-        for _ in range(3):
+        for _ in range(each // 2):
             out.append((frame.format(g=_name(rng)), 1))
     for nouns, adjectives, persons, frames in COMPOSED.values():
         for frame in frames:
-            for _ in range(each):
+            for _ in range(2 * each):
                 out.append((frame.format(n=pick(nouns), a=pick(adjectives), p=pick(persons)), 1))
     out += [(text, 0) for text in EVERYDAY for _ in range(each)]
     for frame in SOBER:
