@@ -1,7 +1,7 @@
 """Most similar vectors for every vector: inverted lists with an adaptive dimension scan.
 
-Centroids fitted on a bounded sample divide the vectors into lists; every vector is stored in the list of its nearest
-centroid. A query visits the lists whose border is near. Inside a list, vectors are rotated at random and stored in
+Centroids fitted on a bounded sample divide the vectors into lists. A vector is stored in the lists of its nearest
+centroids, and a query visits the lists whose border is near. Inside a list, vectors are rotated at random and stored in
 blocks of columns; after each block a hypothesis test on the partial distance abandons candidates that can hardly be
 among the k nearest. What survives is measured exactly, in double precision, on the vectors as stored.
 """
@@ -132,7 +132,7 @@ def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 5, dim: int = 64, queries: DataFrame | None = None, least: float = -1.0, probes: int = 5, margin: float = 0.17, id_col: str = "idx", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 5, dim: int = 64, queries: DataFrame | None = None, least: float = -1.0, probes: int = 4, margin: float = 0.17, id_col: str = "idx", vector_col: str = "embedding"
 ) -> DataFrame:
     """Rows (idx, rank, neighbour, similarity): for every query the k most similar other vectors with a cosine of at least `least`.
 
@@ -143,11 +143,13 @@ def nearest_neighbours(
 
     All vectors are indexed. Centroids are fitted on the SAMPLE_ROWS rows with the smallest hash of the id. A query
     visits at most `probes` lists, and of these only the ones whose border with its own list is within `margin`; 0.17 is
-    three standard deviations of a cosine-0.9 neighbour's offset towards a border in 64 dimensions.
+    three standard deviations of a cosine-0.9 neighbour's offset towards a border in 64 dimensions. Vectors that are
+    their own queries are stored in every list they visit, so that two meet if they have any list in common; with
+    queries of their own, a vector is stored in its nearest list only, and the queries need more probes.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
     q = None if queries is None else queries.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
-    n = v.count()
+    apart, n = q is not None, v.count()
     sample = hash_sample(v.where((F.size("x") == dim) & F.col("idx").isNotNull()), "idx", SAMPLE_ROWS).toArrow()
     _, x = vector_block(sample.column("idx"), sample.column("x"), dim)
     lists = int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x))))
@@ -157,7 +159,9 @@ def nearest_neighbours(
     def sizes(batches):
         for batch in batches:
             _, x = vector_block(batch.column(0), batch.column(1), dim)
-            where, many = np.unique(_nearest(unit_rows(x).astype(np.float32), centroids)[0], return_counts=True)
+            unit = unit_rows(x).astype(np.float32)
+            where = _nearest(unit, centroids)[0] if apart else _visits(unit, centroids, gap, probes, margin)[1]
+            where, many = np.unique(where, return_counts=True)
             yield pa.record_batch([pa.array(where.astype(np.int64)), pa.array(many.astype(np.int64))], names=["list", "n"])
 
     counted = v.mapInArrow(sizes, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_ROWS).collect()
@@ -172,11 +176,9 @@ def nearest_neighbours(
                 ids, x = vector_block(batch.column(0), batch.column(1), dim)
                 unit = unit_rows(x).astype(np.float32)
                 row, to = _visits(unit, centroids, gap, probes if ask else 1, margin)
-                first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.empty(0, bool)
                 own = (mix64(ids[row]) % cut[to].astype(np.uint64)).astype(np.int64)
-                # a row that is both stored and asked here, then one for each further block that it asks
-                here = offset[to] + own
-                yield _rows(here, np.where(first & store, 1, 0) + (2 if ask else 0), ids[row], x[row], (first & store) | ask)
+                # one row where it is stored, asked or both, then one for each further block of the list that it asks
+                yield _rows(offset[to] + own, np.full(len(row), store + 2 * ask), ids[row], x[row], np.ones(len(row), bool))
                 if ask and (cut[to] > 1).any():
                     for j in range(1, int(cut[to].max())):
                         more = cut[to] > j
@@ -215,5 +217,6 @@ def nearest_neighbours(
         return pa.table({"idx": ask_ids[r], "neighbour": base_ids[c], "similarity": cos})
 
     found = rows.groupBy("block").applyInArrow(search, "idx long, neighbour long, similarity double")
+    found = found.repartition("idx").dropDuplicates(["idx", "neighbour"])  # lists may share both
     ranked = Window.partitionBy("idx").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("idx", "rank", "neighbour", "similarity")
