@@ -423,7 +423,7 @@ def embed_kmer(spark, sf):
     return e.select("seq_pos", F.posexplode("embedding").alias("pos", "value")).where("value <> 0").select("seq_pos", "pos", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-@query(f"WITH {_CLEAN}, k AS (SELECT seq_pos, substr(sequence, i, 3) AS kmer FROM w, generate_series(1, 20000) g(i) WHERE i <= length(sequence) - 2) SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
+@query(f"WITH {_CLEAN}, k AS (SELECT substr(sequence, i, 3) AS kmer FROM (SELECT sequence, unnest(range(1, length(sequence) - 1)) AS i FROM w)) SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
 def kmer_counts(spark, sf):
     at = F.explode(F.expr("sequence(1, length(sequence) - 2)"))
     k = _clean(spark, sf).where(F.length("sequence") >= 3).select("sequence", at.alias("i")).select(F.expr("substring(sequence, i, 3)").alias("kmer"))
