@@ -160,7 +160,29 @@ _CANONICAL = """
     FROM (SELECT DISTINCT seq_pos, id, sequence FROM sequences)
     WHERE seq_pos IS NOT NULL AND id IS NOT NULL AND sequence IS NOT NULL"""
 
+_UNIT = """
+    d AS (SELECT DISTINCT ON (idx) idx, id, embedding::DOUBLE[] AS e FROM vectors
+          WHERE idx IS NOT NULL AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))) AND list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+    u AS (SELECT idx, id, list_transform(e, lambda c: c / sqrt(list_inner_product(e, e))) AS v FROM d)"""
+_NEAREST = f"""{_UNIT}, s AS (SELECT a.idx, b.idx AS neighbour, round(list_inner_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON a.idx <> b.idx),
+    k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY similarity DESC, neighbour) AS rank FROM s)"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": f"""
+        WITH RECURSIVE {_UNIT}, l AS (SELECT a.idx AS a, b.idx AS b FROM u a JOIN u b ON a.idx <> b.idx AND round(list_inner_product(a.v, b.v), 12) >= 0.9),
+             t AS (SELECT a AS x, a AS y FROM l UNION SELECT t.x, l.b FROM t JOIN l ON l.a = t.y)
+        SELECT min(y) AS first_idx, x AS member_idx FROM t GROUP BY x HAVING min(y) <> x""",
+    "p2_found": """
+        WITH c AS (SELECT DISTINCT seq_pos, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS s FROM sequences WHERE seq_pos IS NOT NULL AND sequence IS NOT NULL),
+             k AS (SELECT s, min(seq_pos) AS class FROM c WHERE length(s) >= 5 AND replace(s, 'X', '') <> '' GROUP BY s),
+             w AS (SELECT DISTINCT class, substr(s, i, 5) AS word FROM (SELECT class, s, unnest(range(1, length(s) - 3)) AS i FROM k)),
+             n AS (SELECT class, count(*) AS n FROM w GROUP BY class),
+             p AS (SELECT x.class AS a, y.class AS b, count(*) AS shared FROM w x JOIN w y ON x.word = y.word AND x.class < y.class GROUP BY 1, 2),
+             f AS (SELECT p.a, p.b FROM p JOIN n x ON x.class = p.a JOIN n y ON y.class = p.b WHERE 2 * shared >= x.n + y.n - shared),
+             m AS (SELECT k.class, c.seq_pos FROM c JOIN k USING (s))
+        SELECT DISTINCT least(x.seq_pos, y.seq_pos) AS seq_pos_a, greatest(x.seq_pos, y.seq_pos) AS seq_pos_b FROM f JOIN m x ON x.class = f.a JOIN m y ON y.class = f.b""",
+    "p3_found": f"WITH {_NEAREST} SELECT DISTINCT least(idx, neighbour) AS idx_a, greatest(idx, neighbour) AS idx_b FROM k WHERE rank <= 5 AND similarity >= 0.9",
+    "p3_neighbours": f"WITH {_NEAREST} SELECT k.idx, a.id, k.rank, k.neighbour, b.id AS neighbour_id, k.similarity FROM k JOIN u a ON a.idx = k.idx JOIN u b ON b.idx = k.neighbour WHERE rank <= 5 AND k.idx % 20 = 0",
     "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 8192 AND text <> ''",
     "p8_found": """
         WITH t AS (SELECT lower(trim(source)) AS source, sum(CASE WHEN text <> '' THEN octet_length(encode(text)) + 1 ELSE 0 END) AS tokens
