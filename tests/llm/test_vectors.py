@@ -53,8 +53,19 @@ def test_linked_members(spark, monkeypatch, blocks):
 
 
 def test_plan_needs_more_minima_for_more_rows():
-    (r1, b1), (r2, b2) = clusters.band_plan(10_000, 0.9, 64), clusters.band_plan(10**9, 0.9, 64)
-    assert r1 == 1 < r2 and b1 < b2
+    plans = [clusters.band_plan(n, 0.9, 64) for n in (10_000, 2_000_000, 10**9)]
+    assert plans[0][:2] == (1, 0) and plans[1][0] == 1 and plans[1][1] > 0 and plans[2][0] > 1
+    assert plans[0][2] < plans[1][2] < plans[2][2]
+
+
+@pytest.mark.parametrize("bucket", [0.5, 0.05])
+def test_linked_members_with_more_minima(spark, monkeypatch, bucket):
+    monkeypatch.setattr(clusters, "BUCKET_ROWS", bucket)
+    x = planted()
+    want = components(x)
+    found = {r["idx"]: r["component"] for r in clusters.linked_members(frame(spark, rows_of(x)), 0.9, DIM).collect()}
+    assert clusters.band_plan(len(x), 0.9, DIM)[1 if bucket == 0.5 else 0] > (0 if bucket == 0.5 else 1)
+    assert found == {i: c for i, c in enumerate(want) if (want == c).sum() > 1}
 
 
 def test_local_components_leave_close_calls_open():
