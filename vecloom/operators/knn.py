@@ -202,6 +202,5 @@ def knn_edges(neighbours: DataFrame, threshold: float = 0.1, metric: str = "cosi
 
 def append_vectors(base: DataFrame, more: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """UNION ALL with the new rows' numbers moved behind the old ones; nothing is deduplicated."""
-    last = base.agg((F.coalesce(F.max(id_col), F.lit(-1)) + 1).alias("_offset"))
-    moved = more.crossJoin(F.broadcast(last)).withColumn(id_col, F.col(id_col) + F.col("_offset")).drop("_offset")  # one row
-    return base.unionByName(moved)
+    last = base.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("m")).first()["m"]
+    return base.unionByName(more.withColumn(id_col, F.col(id_col) + F.lit(last + 1)))

@@ -109,9 +109,8 @@ def representatives(members: DataFrame, cluster: str = "cluster_id", id_col: str
 def cluster_sizes(labels: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """(cluster_id, size, fraction), largest first, then by cluster_id."""
     n = labels.groupBy(F.col(cluster).alias("cluster_id")).agg(F.count("*").alias("size"))
-    total = n.agg(F.sum("size").alias("_total"))
-    out = n.crossJoin(F.broadcast(total))  # one row
-    return out.select("cluster_id", "size", F.round(F.col("size") / F.col("_total"), 9).alias("fraction")).orderBy(F.desc("size"), "cluster_id")
+    total = labels.count()
+    return n.select("cluster_id", "size", F.round(F.col("size") / F.lit(float(total)), 9).alias("fraction")).orderBy(F.desc("size"), "cluster_id")
 
 
 def cohesion_summary(stats: DataFrame) -> DataFrame:
@@ -130,5 +129,4 @@ def cohesion_summary(stats: DataFrame) -> DataFrame:
 def cluster_members(labels: DataFrame, cluster_id: int, cluster: str = "cluster_id") -> DataFrame:
     """The rows of one cluster with its size."""
     own = labels.where(F.col(cluster) == cluster_id)
-    n = own.agg(F.count("*").alias("size"))
-    return own.crossJoin(F.broadcast(n))  # one row
+    return own.withColumn("size", F.lit(own.count()))

@@ -36,11 +36,11 @@ def cluster_db(
     table = size.join(reps, "cluster_id").join(cohesion.drop("size"), "cluster_id", "left").orderBy(F.desc("size"), "cluster_id")
     table = table.select("cluster_id", "representative_id", "size", *[c for c in table.columns if c not in ("cluster_id", "representative_id", "size")])
     clusters = members.join(reps, "cluster_id").select("representative_id", F.col("id").alias("member_id"), "cluster_id").orderBy("cluster_id", "member_id")
-    mod = graph.modularity(edges, labels.withColumnRenamed("idx", "id"), "src", "dst") if method == "leiden" else None
+    mod = graph.modularity(edges, labels.withColumnRenamed("idx", "id"), "src", "dst").first()[0] if method == "leiden" else None
     parts = {"method": method, "k": k, "dist_threshold": dist_threshold, "resolution": resolution if method == "leiden" else None, "mst_cut_threshold": mst_cut_threshold if method == "mst" else None, "min_cluster_size": min_cluster_size}
     one = stats.cohesion_summary(cohesion)
     if mod is not None:
-        one = one.crossJoin(F.broadcast(mod))  # one row each
+        one = one.withColumn("modularity", F.lit(mod))
     values = [F.struct(F.lit(n).alias("parameter"), F.lit(None if x is None else str(x)).cast("string").alias("value")) for n, x in parts.items()]
     values += [F.struct(F.lit(c).alias("parameter"), F.col(c).cast("string").alias("value")) for c in one.columns]
     summary = one.select(F.explode(F.array(*values)).alias("p")).select("p.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vecloom.operators.embed import EmbedderConfig, embed
 from vecloom.operators.knn import check_metric, knn_join, nearest, with_metadata
+from vecloom.session import materialize
 from vecloom.sources.fasta import last_sequences, read_fasta
 
 
@@ -69,9 +70,16 @@ class VectorDB:
 def number_rows(df: DataFrame, first: int = 0) -> DataFrame:
     """(idx, id, description, embedding) with idx from `first` on, in the order of seq_pos or idx if there is one."""
     order = next((c for c in ("seq_pos", "idx") if c in df.columns), None)
-    rows = df.orderBy(order) if order else df
-    rdd = rows.select("id", "description", "embedding").rdd.zipWithIndex().map(lambda p: (p[1] + first, *p[0]))
-    return df.sparkSession.createDataFrame(rdd, "idx long, id string, description string, embedding array<float>")
+    rows = (df.orderBy(order) if order else df).select("id", "description", "embedding").withColumn("_at", F.monotonically_increasing_id())
+    rows = materialize(rows, "numbered")
+    part = F.shiftright("_at", 33)  # the number's upper bits are the partition, the lower ones the row within it
+    base, offset = first, []
+    for p, n in sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        offset += [F.lit(p), F.lit(base)]
+        base += n
+    start = F.create_map(*offset)[part] if offset else F.lit(first)
+    idx = (start + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")
+    return rows.select(idx.alias("idx"), F.col("id").cast("string"), F.col("description").cast("string"), F.col("embedding").cast("array<float>"))
 
 
 def write_meta(spark: SparkSession, base: str, meta: dict) -> None:
