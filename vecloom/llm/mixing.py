@@ -140,11 +140,10 @@ def mix_report(docs: DataFrame, targets: DataFrame, mixture: DataFrame, text_col
     `needed` is the target share of all tokens; a source is `short` if its tokens times max_repeats are fewer.
     """
     s = sizes_by_source(docs, targets, text_col, source_col)
-    total = s.agg(F.sum("tokens").alias("total"))
     got = mixture.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"))
     mixed = F.coalesce("mixed_tokens", F.lit(0))
-    all_mixed = got.agg(F.sum("mixed_tokens").alias("all_mixed"))
-    out = s.join(got, "source", "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(all_mixed))  # one row each
+    every = Window.partitionBy(F.lit(0))  # one row a target
+    out = s.join(got, "source", "left").withColumn("total", F.sum("tokens").over(every)).withColumn("all_mixed", F.sum("mixed_tokens").over(every))
     need = F.col("target_share") * F.col("total")
     return out.select(
         "source", "target_share", "max_repeats", "tokens", F.round(need, 3).alias("needed"), mixed.alias("mixed_tokens"), F.round(mixed / F.col("all_mixed"), 6).alias("actual_share"), (F.col("tokens") * F.col("max_repeats") < need).alias("short")
