@@ -127,11 +127,15 @@ def test_neighbours(spark, monkeypatch, blocks):
     assert got <= true and len(got) >= 0.95 * len(true)
 
 
-def test_neighbours_of_given_queries(spark):
+@pytest.mark.parametrize("block", [100_000, 3])
+def test_neighbours_of_given_queries(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", block)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 40)
     x = planted()
     v = frame(spark, rows_of(x))
-    rows = neighbours.nearest_neighbours(v, 3, DIM, queries=v.where("idx % 20 = 0"), probes=99, margin=9.0).collect()
-    assert {r["idx"] for r in rows} == set(range(0, len(x), 20)) and len(rows) == 3 * len(range(0, len(x), 20))
+    want = exact_neighbours(x, 3)
+    rows = neighbours.nearest_neighbours(v, 3, DIM, queries=v.where("idx % 20 = 0"), share=1.0).collect()
+    assert {(r["idx"], r["rank"], r["neighbour"]) for r in rows} == {(i, n + 1, j) for i in range(0, len(x), 20) for n, (j, _) in enumerate(want[i])}
 
 
 def test_ties_go_to_the_smaller_id(spark):

@@ -25,6 +25,8 @@ MOST_LISTS = 4_096
 #: Lists above this are cut into blocks; a query visits all blocks of a list.
 BLOCK_ROWS = 8_000
 COLUMNS = 16
+#: Queries of a stated set that the tasks hold at once.
+QUERY_ROWS = 100_000
 #: Standard deviations that a partial distance may stay below its expectation before a candidate is abandoned.
 TEST = 3.0
 
@@ -74,10 +76,11 @@ def _rotation(dim: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(99).standard_normal((dim, dim)))[0].astype(np.float32)
 
 
-def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids: np.ndarray, base_ids: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids: np.ndarray, base_ids: np.ndarray, rotation: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, base row, cosine) of the k nearest base rows of each query with a cosine of at least `least`.
 
     Unit rows in double precision. Equal ids are the same vector and are left out. Ties go to the smaller base id.
+    `known` has a cosine for each query below which nothing is wanted.
     """
     dim, out = base.shape[1], []
     blocks = [slice(s, min(s + COLUMNS, dim)) for s in range(0, dim, COLUMNS)]
@@ -87,7 +90,9 @@ def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids:
     for s in range(0, len(rq), 512):
         q = rq[s : s + 512]
         bound = np.full(len(q), limit, dtype=np.float32)
-        if least <= -1 or len(base) > 4 * k:
+        if known is not None:
+            bound = np.minimum(bound, (2 - 2 * known[s : s + 512] + 1e-4).astype(np.float32))
+        elif least <= -1 or len(base) > 4 * k:
             seed = rb[:: max(1, len(rb) // (8 * k + 8))]
             if len(seed) > k + 1:  # k + 1: the query itself may be among them
                 d = 2 - 2 * (q @ seed.T)
@@ -132,7 +137,7 @@ def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 5, dim: int = 64, queries: DataFrame | None = None, least: float = -1.0, probes: int = 4, margin: float = 0.17, id_col: str = "idx", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 5, dim: int = 64, queries: DataFrame | None = None, least: float = -1.0, probes: int = 4, margin: float = 0.17, share: float = 0.45, id_col: str = "idx", vector_col: str = "embedding"
 ) -> DataFrame:
     """Rows (idx, rank, neighbour, similarity): for every query the k most similar other vectors with a cosine of at least `least`.
 
@@ -141,27 +146,34 @@ def nearest_neighbours(
     vectors (null, wrong size, not finite, zero) are left out on both sides; rows with the same id are one vector; exact
     copies under other ids are neighbours. A query with fewer neighbours has fewer rows. Other columns are ignored.
 
-    All vectors are indexed. Centroids are fitted on the SAMPLE_ROWS rows with the smallest hash of the id. A query
-    visits at most `probes` lists, and of these only the ones whose border with its own list is within `margin`; 0.17 is
-    three standard deviations of a cosine-0.9 neighbour's offset towards a border in 64 dimensions. Vectors that are
-    their own queries are stored in every list they visit, so that two meet if they have any list in common; with
-    queries of their own, a vector is stored in its nearest list only, and the queries need more probes.
+    All vectors are indexed. Centroids are fitted on the SAMPLE_ROWS rows with the smallest hash of the id.
+
+    Without `queries`, a vector visits at most `probes` lists, and of these only the ones whose border with its own list is
+    within `margin`, and is stored in all of them, so that two vectors meet if they have any list in common. 0.17 is
+    three standard deviations of a cosine-0.9 neighbour's offset towards a border in 64 dimensions: this finds what is
+    near, and of what is not near only a part.
+
+    With `queries`, a stated set, a vector is stored in its nearest list and every query visits the nearest `share` of all
+    lists, which also finds neighbours that are not near. Queries go to the tasks in blocks of QUERY_ROWS, and a task keeps
+    the k best so far of each, which also tightens the test of what it reads next.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
     q = None if queries is None else queries.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
-    apart, n = q is not None, v.count()
+    n = v.count()
     sample = hash_sample(v.where((F.size("x") == dim) & F.col("idx").isNotNull()), "idx", SAMPLE_ROWS).toArrow()
     _, x = vector_block(sample.column("idx"), sample.column("x"), dim)
     lists = int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x))))
     centroids = fit_centroids(unit_rows(x), lists) if len(x) else np.zeros((1, dim), np.float32)
     gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0)).astype(np.float32)
 
+    if q is not None:
+        return _asked(v, q, k, dim, least, max(1, math.ceil(share * lists)), centroids)
+
     def sizes(batches):
         for batch in batches:
             _, x = vector_block(batch.column(0), batch.column(1), dim)
             unit = unit_rows(x).astype(np.float32)
-            where = _nearest(unit, centroids)[0] if apart else _visits(unit, centroids, gap, probes, margin)[1]
-            where, many = np.unique(where, return_counts=True)
+            where, many = np.unique(_visits(unit, centroids, gap, probes, margin)[1], return_counts=True)
             yield pa.record_batch([pa.array(where.astype(np.int64)), pa.array(many.astype(np.int64))], names=["list", "n"])
 
     counted = v.mapInArrow(sizes, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_ROWS).collect()
@@ -170,33 +182,22 @@ def nearest_neighbours(
         cut[r["list"]] = math.ceil(r["n"] / BLOCK_ROWS)
     offset = np.r_[0, np.cumsum(cut)]
 
-    def spread(store: bool, ask: bool):
-        def run(batches):
-            for batch in batches:
-                ids, x = vector_block(batch.column(0), batch.column(1), dim)
-                unit = unit_rows(x).astype(np.float32)
-                row, to = _visits(unit, centroids, gap, probes if ask else 1, margin)
-                own = (mix64(ids[row]) % cut[to].astype(np.uint64)).astype(np.int64)
-                # one row where it is stored, asked or both, then one for each further block of the list that it asks
-                yield _rows(offset[to] + own, np.full(len(row), store + 2 * ask), ids[row], x[row], np.ones(len(row), bool))
-                if ask and (cut[to] > 1).any():
-                    for j in range(1, int(cut[to].max())):
-                        more = cut[to] > j
-                        at = offset[to[more]] + (own[more] + j) % cut[to[more]]
-                        yield _rows(at, np.full(len(at), 2), ids[row[more]], x[row[more]], np.ones(len(at), bool))
-
-        return run
-
-    def _rows(at, role, ids, x, keep):
-        return pa.record_batch(
-            [pa.array(at[keep].astype(np.int64)), pa.array(role[keep].astype(np.int8)), pa.array(ids[keep]), fixed_binary(x[keep].astype(np.float32))], names=["block", "role", "idx", "x"]
-        )
-
-    schema = "block long, role tinyint, idx long, x binary"
-    if q is None:
-        rows = v.mapInArrow(spread(True, True), schema)
-    else:
-        rows = v.mapInArrow(spread(True, False), schema).unionByName(q.mapInArrow(spread(False, True), schema))
+    def spread(batches):
+        for batch in batches:
+            ids, x = vector_block(batch.column(0), batch.column(1), dim)
+            row, to = _visits(unit_rows(x).astype(np.float32), centroids, gap, probes, margin)
+            own = (mix64(ids[row]) % cut[to].astype(np.uint64)).astype(np.int64)
+            # one row where it is stored and asked, then one for each further block of the list that it asks
+            yield _rows(offset[to] + own, np.full(len(row), 3), ids[row], x[row])
+            for j in range(1, int(cut[to].max(initial=1))):
+                more = cut[to] > j
+                at = offset[to[more]] + (own[more] + j) % cut[to[more]]
+                yield _rows(at, np.full(len(at), 2), ids[row[more]], x[row[more]])
+
+    def _rows(at, role, ids, x):
+        return pa.record_batch([pa.array(at.astype(np.int64)), pa.array(role.astype(np.int8)), pa.array(ids), fixed_binary(x.astype(np.float32))], names=["block", "role", "idx", "x"])
+
+    rows = v.mapInArrow(spread, "block long, role tinyint, idx long, x binary")
     rotation = _rotation(dim)
 
     def search(table: pa.Table) -> pa.Table:
@@ -220,3 +221,67 @@ def nearest_neighbours(
     found = found.repartition("idx").dropDuplicates(["idx", "neighbour"])  # lists may share both
     ranked = Window.partitionBy("idx").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("idx", "rank", "neighbour", "similarity")
+
+
+def _asked(v: DataFrame, q: DataFrame, k: int, dim: int, least: float, visits: int, centroids: np.ndarray) -> DataFrame:
+    """The k nearest of the rows of q among those of v, each query visiting its `visits` nearest lists."""
+    spark, rotation = v.sparkSession, _rotation(dim)
+    blocks = max(1, math.ceil(q.count() / QUERY_ROWS))
+
+    def placed(batches):
+        for batch in batches:
+            ids, x = vector_block(batch.column(0), batch.column(1), dim)
+            yield pa.record_batch([pa.array(_nearest(unit_rows(x).astype(np.float32), centroids)[0]), pa.array(ids), fixed_binary(x.astype(np.float32))], names=["list", "idx", "x"])
+
+    # large lists are spread over tasks by the hash of the id; a list's rows are then read together in each task
+    stored = v.mapInArrow(placed, "list long, idx long, x binary").repartition(F.col("list"), F.pmod(F.xxhash64("idx"), F.lit(4))).sortWithinPartitions("list")
+    found = None
+    for i in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == i).toArrow()
+        ids, x = vector_block(block.column("idx"), block.column("x"), dim)
+        ids, first = np.unique(ids, return_index=True)
+        held = spark.sparkContext.broadcast((ids, x[first].astype(np.float32)))
+
+        def search(batches, held=held):
+            ask_ids, ask = held.value[0], unit_rows(held.value[1].astype(np.float64))
+            near = [np.argpartition(-(ask[s : s + 2048].astype(np.float32) @ centroids.T), visits - 1, axis=1)[:, :visits] for s in range(0, len(ask), 2048)]
+            near = np.concatenate(near) if near else np.empty((0, visits), dtype=np.int64)
+            order = np.argsort(near, axis=None, kind="stable")
+            who, ends = (order // visits).astype(np.int32), np.searchsorted(near.ravel()[order], np.arange(len(centroids) + 1))
+            best, best_id = np.full((len(ask), k), -2.0), np.full((len(ask), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                where, base_ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                base = unit_rows(from_binary(batch.column(2), "float32", dim).astype(np.float64))
+                for t in np.unique(where):
+                    mine, at = who[ends[t] : ends[t + 1]], np.flatnonzero(where == t)
+                    at = at[np.unique(base_ids[at], return_index=True)[1]]
+                    known = np.maximum(best[mine, -1], least)
+                    r, c, cos = scan(ask[mine], base[at], k, least, ask_ids[mine], base_ids[at], rotation, known)
+                    _merge(best, best_id, mine[r], base_ids[at][c], cos)
+            r, c = np.nonzero(best > -2)
+            yield pa.record_batch([pa.array(ask_ids[r]), pa.array(best_id[r, c]), pa.array(best[r, c])], names=["idx", "neighbour", "similarity"])
+
+        part = stored.mapInArrow(search, "idx long, neighbour long, similarity double")
+        found = part if found is None else found.unionByName(part)
+    found = found.repartition("idx").dropDuplicates(["idx", "neighbour"])
+    ranked = Window.partitionBy("idx").orderBy(F.desc("similarity"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("idx", "rank", "neighbour", "similarity")
+
+
+def _merge(best: np.ndarray, best_id: np.ndarray, row: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> None:
+    """Puts (row, id, cosine), ordered by row with at most k for each, into the best so far; an id that is there already is left out."""
+    if not len(row):
+        return
+    k = best.shape[1]
+    rows, start = np.unique(row, return_index=True)
+    rank = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+    at = np.searchsorted(rows, row)
+    new, new_id = np.full((len(rows), k), -2.0), np.full((len(rows), k), np.iinfo(np.int64).max)
+    new[at, rank], new_id[at, rank] = cos, ids
+    again = (new_id[:, :, None] == best_id[rows][:, None, :]).any(axis=2)
+    new[again], new_id[again] = -2.0, np.iinfo(np.int64).max
+    both, both_id = np.concatenate([best[rows], new], axis=1), np.concatenate([best_id[rows], new_id], axis=1)
+    by_id = np.argsort(both_id, axis=1, kind="stable")
+    both, both_id = np.take_along_axis(both, by_id, 1), np.take_along_axis(both_id, by_id, 1)
+    order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+    best[rows], best_id[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(both_id, order, 1)

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import abuse, clusters, diverse, formatdup, mixing, neardup, neighbours, packing, seeds, splitting
 
-#: Lists that a query of p3_neighbours visits: half of all vectors there have no near neighbour at all.
-P3_PROBES = 128
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -53,9 +49,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """The k nearest of every vector whose idx is divisible by 20, against all; border-blind and with many lists, for recall where nothing is near."""
+    """The k nearest of every vector whose idx is divisible by 20, against all."""
     p, v = params(spark, sf), table(spark, sf, "vectors")
-    near = neighbours.nearest_neighbours(v, int(p["neighbours_k"]), int(p["vector_dim"]), queries=v.where("idx % 20 = 0"), probes=P3_PROBES, margin=2.0)
+    near = neighbours.nearest_neighbours(v, int(p["neighbours_k"]), int(p["vector_dim"]), queries=v.where("idx % 20 = 0"))
     ids = v.select("idx", "id").dropDuplicates(["idx"])
     other = ids.withColumnsRenamed({"idx": "neighbour", "id": "neighbour_id"})
     return near.join(ids, "idx").join(other, "neighbour").select("idx", "id", "rank", "neighbour", "neighbour_id", "similarity")
