@@ -156,3 +156,27 @@ def test_stream(spark, path, tmp_path):
     score_stream(s, db, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     assert json.loads(spark.read.text(f"{db.base}/meta.json").first()[0])["count"] == 4
+
+
+def test_legacy(spark):
+    from vecloom.sources import legacy
+
+    assert legacy.parse_metadata('["a", "b"]') == ([{"id": "a", "description": ""}, {"id": "b", "description": ""}], None)
+    assert legacy.parse_metadata('[{"id": "a", "description": "x"}]')[0] == [{"id": "a", "description": "x"}]
+    assert legacy.parse_metadata('{"metadata": [{"id": 1}], "embedder_config": {"model_type": "t5"}}') == ([{"id": "1", "description": ""}], {"model_type": "t5"})
+    rows = legacy.matrix_table(spark, {"matrix": np.ones((2, 3)), "ids": np.array([b"p", b"q"])}).collect()
+    assert [(r["idx"], r["id"], r["embedding"]) for r in rows] == [(0, "p", [1.0] * 3), (1, "q", [1.0] * 3)]
+    assert legacy.matrix_table(spark, {"matrix": np.ones(3)}).first()["id"] == "query_0"
+    with pytest.raises(KeyError):
+        legacy.matrix_table(spark, {})
+    if legacy.h5py is None:
+        with pytest.raises(ImportError):
+            legacy.read_h5("x")
+
+
+def test_single_text(spark, path, tmp_path):
+    assert embed.embed_texts("MKVLI").shape == (64,) and embed.embed_texts(["MKV", "A"]).shape == (2, 64)
+    db = store.build_db(spark, path, str(tmp_path / "db"))
+    assert fasta.read_fasta(spark, db.fasta_path).count() == 4
+    with pytest.raises(FileNotFoundError):
+        store.save_db(db.vectors, str(tmp_path / "bare")).fasta_path

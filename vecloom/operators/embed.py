@@ -153,3 +153,12 @@ def embed(sequences: DataFrame, config: EmbedderConfig | dict | str | None = Non
     write = INPUTS.get(own.model_type, lambda c: F.col(c))
     cut = F.substring(write(text_col), 1, own.max_length if own.model_type != "t5" else 2 * own.max_length)
     return sequences.withColumn("embedding", F.pandas_udf(run, ArrayType(FloatType()))(cut))
+
+
+def embed_texts(texts: list[str] | str, config: EmbedderConfig | dict | str | None = None) -> np.ndarray:
+    """Vectors of a few texts on the driver: a matrix for a list, one vector for a single text."""
+    own = EmbedderConfig.resolve(config)
+    if own.model_type not in MODELS:
+        raise ValueError(f"no model registered for {own.model_type}; register one with vecloom.operators.embed.register")
+    out = MODELS[own.model_type](own)([texts] if isinstance(texts, str) else list(texts))
+    return out[0] if isinstance(texts, str) else out

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from vecloom.operators.embed import EmbedderConfig, embed
 from vecloom.operators.knn import check_metric, knn_join, nearest, with_metadata
 from vecloom.session import materialize
-from vecloom.sources.fasta import last_sequences, read_fasta
+from vecloom.sources.fasta import last_sequences, read_fasta, write_fasta
 
 
 class VectorDB:
-    """A folder with vectors.parquet (idx, id, description, embedding), sequences.parquet (id, sequence) and meta.json.
+    """A folder with vectors.parquet (idx, id, description, embedding), sequences.parquet (id, sequence), sequences.fasta and meta.json.
 
     The metric is part of the database; opening it with another one is an error. An empty database has dimension 512.
     """
@@ -38,6 +38,13 @@ class VectorDB:
             raise FileNotFoundError(f"{self.base} has no sequences")
         return self.spark.read.parquet(f"{self.base}/sequences.parquet")
 
+    @property
+    def fasta_path(self) -> str:
+        """Where the database's sequences are as FASTA text (a folder of parts). A database without sequences is an error."""
+        if not self.meta.get("has_sequences"):
+            raise FileNotFoundError(f"{self.base} has no sequences")
+        return f"{self.base}/sequences.fasta"
+
     @property
     def ntotal(self) -> int:
         return self.meta["count"]
@@ -97,6 +104,7 @@ def save_db(vectors: DataFrame, base: str, metric: str = "cosine", sequences: Da
         raise ValueError(f"dimension mismatch: {sizes}")
     if sequences is not None:
         last_sequences(sequences).write.mode("overwrite").parquet(f"{base}/sequences.parquet")
+        write_fasta(sequences, f"{base}/sequences.fasta", None, single=False)
     write_meta(spark, base, {"dim": sizes[0] if sizes else 512, "metric": metric, "count": back.count(), "has_sequences": sequences is not None, "embedder_config": config.to_dict() if config else None})
     return VectorDB(spark, base)
 
