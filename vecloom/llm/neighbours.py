@@ -25,6 +25,8 @@ MOST_LISTS = 4_096
 #: Lists above this are cut into blocks; a query visits all blocks of a list.
 BLOCK_ROWS = 8_000
 COLUMNS = 16
+#: Lists that a query of a stated set visits at the least.
+LEAST_VISITS = 32
 #: Queries of a stated set that the tasks hold at once.
 QUERY_ROWS = 100_000
 #: Standard deviations that a partial distance may stay below its expectation before a candidate is abandoned.
@@ -154,7 +156,7 @@ def nearest_neighbours(
     near, and of what is not near only a part.
 
     With `queries`, a stated set, a vector is stored in its nearest list and every query visits the nearest `share` of all
-    lists, which also finds neighbours that are not near. Queries go to the tasks in blocks of QUERY_ROWS, and a task keeps
+    lists, and LEAST_VISITS at the least, which also finds neighbours that are not near. Queries go to the tasks in blocks of QUERY_ROWS, and a task keeps
     the k best so far of each, which also tightens the test of what it reads next.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
@@ -167,7 +169,7 @@ def nearest_neighbours(
     gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0)).astype(np.float32)
 
     if q is not None:
-        return _asked(v, q, k, dim, least, max(1, math.ceil(share * lists)), centroids)
+        return _asked(v, q, k, dim, least, max(min(lists, LEAST_VISITS), math.ceil(share * lists)), centroids)
 
     def sizes(batches):
         for batch in batches:
