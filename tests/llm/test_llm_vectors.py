@@ -95,6 +95,22 @@ def test_loose_chain_is_split(spark):
     assert {r["component"] for r in rows} == {0} and len({r["cluster_id"] for r in rows}) == 2
 
 
+@pytest.mark.parametrize("head", [1_000, 2])
+def test_large_components_are_clustered_whole(spark, monkeypatch, head):
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(clusters, "HEAD_ROWS", head)
+    angle = np.deg2rad(np.arange(0, 200, 5))
+    chain = np.zeros((len(angle), DIM), np.float32)
+    chain[:, 3], chain[:, 4] = np.cos(angle), np.sin(angle)
+    x = np.concatenate([planted(), chain, np.repeat(planted(seed=3)[:1], 30, axis=0)])
+    x[-4:] *= 2
+    v = frame(spark, rows_of(x))
+    whole = {tuple(r) for r in clusters.similarity_clusters(v, 0.9, DIM).collect()}
+    assert {tuple(r) for r in clusters.similarity_clusters(v, 0.9, DIM, piece_rows=5).collect()} == whole
+    hot = [r for r in clusters.describe_clusters(clusters.similarity_clusters(v, 0.9, DIM, piece_rows=5)).collect() if r["size"] >= 30]
+    assert len(hot) == 1
+
+
 def test_nothing(spark):
     none = frame(spark, [])
     assert clusters.linked_members(none, 0.9, DIM).count() == 0

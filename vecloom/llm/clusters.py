@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import fixed_binary, from_binary, mix64, unit_rows, vector_block
@@ -29,6 +29,8 @@ BUCKET_ROWS = 4_000
 SIGNS = 4
 #: Buckets above this are cut into blocks, and every pair of blocks is compared.
 BLOCK_ROWS = 8_000
+#: Rows of a large component that are split at once, those with most links.
+HEAD_ROWS = 1_000
 
 
 def _planes(dim: int, rotations: int) -> np.ndarray:
@@ -236,6 +238,22 @@ def linked_members(vectors: DataFrame, cosine: float = 0.9, dim: int = 64, id_co
     return linked.withColumnRenamed("id", "idx")
 
 
+def _near(x: np.ndarray, y: np.ndarray, limit: float) -> np.ndarray:
+    """Which pairs of unit rows have a cosine of at least `limit` at 12 decimals, whatever the block they are multiplied in."""
+    return x @ y.T >= limit - 5e-13
+
+
+def _split(idx: np.ndarray, x: np.ndarray, degree: np.ndarray, loose: float) -> tuple[np.ndarray, np.ndarray]:
+    """(medoid row, cosine to it) of each unit row: those with most links first, ties to the smaller idx, each takes what is left within `loose`."""
+    medoid, sim = np.full(len(idx), -1), np.ones(len(idx))
+    for m in np.lexsort((idx, -degree)):
+        if medoid[m] < 0:
+            mine = (medoid < 0) & _near(x, x[m : m + 1], loose)[:, 0]
+            mine[m] = True
+            medoid[mine], sim[mine] = m, x[mine] @ x[m]
+    return medoid, np.round(sim, 4)
+
+
 def similarity_clusters(
     vectors: DataFrame, cosine: float = 0.9, dim: int = 64, typical: int = 3, loose: float | None = None, id_col: str = "idx", vector_col: str = "embedding", recall: float = 0.9994, piece_rows: int = 4096
 ) -> DataFrame:
@@ -244,33 +262,28 @@ def similarity_clusters(
     A component is loose if some member's cosine to the medoid is under `loose` (default: `cosine`). It is split around
     medoids: the member with most links takes all members within `cosine` of it, and so on with the rest; ties go to
     the smaller idx. `cluster_id` and `medoid` are the idx of the medoid; a vector without links is its own cluster.
-    Components of over `piece_rows` members are split piece by piece, pieces being chosen by a hash of idx, so that no
-    task holds more; members of different pieces then share the component but not the cluster.
+    Components of over `piece_rows` members are spread over tasks, see _large(); their clusters are the same as if one
+    task held them.
     """
     loose = cosine if loose is None else loose
     v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
     members = materialize(linked_members(v, cosine, dim, "idx", "x", recall), "members")
     size = members.groupBy("component").agg(F.count("*").alias("n"))
-    placed = members.join(size, "component").withColumn("piece", F.pmod(F.xxhash64("idx"), F.ceil(F.col("n") / piece_rows)))
-    grouped = v.join(placed, "idx").select("idx", "x", "component", "piece")
+    grouped = v.join(members.join(size, "component"), "idx").select("idx", "x", "component", "n")
 
     def split(table: pa.Table) -> pa.Table:
         idx, x = vector_block(table.column("idx"), table.column("x"), dim)
         idx, at = np.unique(idx, return_index=True)
-        x, n = unit_rows(x[at]).astype(np.float32), len(idx)
+        x, n = unit_rows(x[at]), len(idx)
         degree = np.zeros(n, dtype=np.int64)
         for s in range(0, n, 512):
-            degree[s : s + 512] = (x[s : s + 512] @ x.T >= cosine).sum(axis=1) - 1
-        order, medoid, sim = np.lexsort((idx, -degree)), np.full(n, -1), np.ones(n)
-        for m in order:
-            if medoid[m] < 0:
-                s = x @ x[m]
-                mine = (medoid < 0) & (s >= loose)
-                mine[m] = True
-                medoid[mine], sim[mine] = m, s[mine]
-        return pa.table({"idx": idx, "component": np.full(n, table.column("component")[0].as_py()), "medoid": idx[medoid], "degree": degree, "medoid_cosine": np.round(sim.astype(np.float64), 4)})
-
-    out = grouped.groupBy("component", "piece").applyInArrow(split, "idx long, component long, medoid long, degree long, medoid_cosine double")
+            degree[s : s + 512] = _near(x[s : s + 512], x, cosine).sum(axis=1) - 1
+        medoid, sim = _split(idx, x, degree, loose)
+        return pa.table({"idx": idx, "component": np.full(n, table.column("component")[0].as_py()), "medoid": idx[medoid], "degree": degree, "medoid_cosine": sim})
+
+    out = grouped.where(F.col("n") <= piece_rows).groupBy("component").applyInArrow(split, "idx long, component long, medoid long, degree long, medoid_cosine double")
+    if size.where(F.col("n") > piece_rows).limit(1).count():
+        out = out.unionByName(_large(grouped.where(F.col("n") > piece_rows), cosine, loose, dim, piece_rows))
 
     def valid(batches):
         for batch in batches:
@@ -282,6 +295,81 @@ def similarity_clusters(
     return out.unionByName(alone).select("idx", F.col("medoid").alias("cluster_id"), "component", "medoid", "degree", "medoid_cosine")
 
 
+def _large(grouped: DataFrame, cosine: float, loose: float, dim: int, piece_rows: int) -> DataFrame:
+    """Rows (idx, component, medoid, degree, medoid_cosine) of the components in `grouped`, none of which a task need hold.
+
+    Equal unit vectors are one row with a count, named by their smallest idx, as they share degree and medoid. Degrees are
+    added up over all pairs of blocks of a component. Then, round by round, the HEAD_ROWS rows with most links among those
+    left are split as _split() does, which needs nothing of the others, and the medoids take what they can of the rest,
+    each row the first medoid within `loose`. That is what one pass over the whole component in that order gives.
+    """
+
+    def scaled(batches):
+        for batch in batches:
+            ids, x = vector_block(batch.column("idx"), batch.column("x"), dim)
+            at = dict(zip(batch.column("idx").to_pylist(), batch.column("component").to_pylist()))
+            yield pa.record_batch([pa.array(ids), pa.array([at[i] for i in ids.tolist()], pa.int64()), fixed_binary(unit_rows(x))], names=["idx", "component", "u"])
+
+    one = grouped.select("idx", "x", "component").mapInArrow(scaled, "idx long, component long, u binary")
+    one = materialize(one.groupBy("idx").agg(F.min_by(F.struct("component", "u"), "u").alias("r")).select("idx", "r.*"), "large")
+    rows = materialize(one.groupBy("component", "u").agg(F.min("idx").alias("rep"), F.count("*").alias("n")), "distinct")
+    blocks = rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("g"), F.ceil(F.count("*") / piece_rows).alias("salts"))
+    rows = rows.join(blocks, "component")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g"))).withColumn("other", F.explode(F.expr("sequence(0L, g - 1)")))
+    pairs = own.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "n", "u")
+
+    def links(table: pa.Table) -> pa.Table:
+        mine, bi, bj = table.column("own").to_numpy(), table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        rep, n, u = table.column("rep").to_numpy(), table.column("n").to_numpy(), from_binary(table.column("u"), "float64", dim)
+        a, b = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
+        found, y = np.zeros(len(rep), dtype=np.int64), u[b]
+        for s in range(0, len(a), 512):
+            near = _near(u[a[s : s + 512]], y, cosine)
+            found[a[s : s + 512]] += near @ n[b]
+            if bi != bj:
+                found[b] += n[a[s : s + 512]] @ near
+        return pa.table({"rep": rep, "links": found})
+
+    degree = pairs.groupBy("component", "bi", "bj").applyInArrow(links, "rep long, links long").groupBy("rep").agg((F.sum("links") - 1).alias("degree"))
+    left = materialize(rows.join(degree, "rep").select("component", "rep", "degree", "u", F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"), "salts"), "left")
+    ranked = Window.partitionBy("component").orderBy(F.desc("degree"), "rep")
+
+    def first(table: pa.Table) -> pa.Table:
+        rep, links, u = table.column("rep").to_numpy(), table.column("degree").to_numpy(), from_binary(table.column("u"), "float64", dim)
+        medoid = np.unique(_split(rep, u, links, loose)[0])
+        medoid = medoid[np.lexsort((rep[medoid], -links[medoid]))]
+        same = [pa.array(np.full(len(medoid), table.column(c)[0].as_py(), dtype=np.int64)) for c in ("component", "salts")]
+        return pa.table([*same, pa.array(np.arange(len(medoid))), pa.array(rep[medoid]), fixed_binary(u[medoid])], names=["component", "salts", "at", "medoid", "u"])
+
+    def take(rest: pa.Table, medoids: pa.Table) -> pa.Table:
+        rep, x, y = rest.column("rep").to_numpy(), from_binary(rest.column("u"), "float64", dim), from_binary(medoids.column("u"), "float64", dim)
+        order = np.argsort(medoids.column("at").to_numpy())
+        name, y = medoids.column("medoid").to_numpy()[order], y[order]
+        to, sim = np.full(len(rep), -1, dtype=np.int64), np.zeros(len(rep))
+        for s in range(0, len(rep), 512):
+            near = _near(x[s : s + 512], y, loose) | (rep[s : s + 512, None] == name[None, :])
+            where = near.argmax(axis=1)
+            hit = np.flatnonzero(near.any(axis=1))
+            to[s + hit], sim[s + hit] = name[where[hit]], (x[s + hit] * y[where[hit]]).sum(axis=1)
+        sim[to == rep] = 1.0
+        return pa.table({"rep": rep, "medoid": pa.array(to, mask=to < 0), "medoid_cosine": np.round(sim, 4)})
+
+    done = None
+    while True:
+        head = left.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= HEAD_ROWS).select("component", "rep", "degree", "u", "salts")
+        medoids = head.groupBy("component").applyInArrow(first, "component long, salts long, at long, medoid long, u binary")
+        medoids = medoids.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).select("component", "salt", "at", "medoid", "u")
+        taken = left.select("component", "salt", "rep", "u").groupBy("component", "salt").cogroup(medoids.groupBy("component", "salt")).applyInArrow(take, "rep long, medoid long, medoid_cosine double")
+        step = materialize(left.join(taken, "rep"), "round")
+        part = step.where("medoid IS NOT NULL").select("rep", "medoid", "degree", "medoid_cosine")
+        done = part if done is None else done.unionByName(part)
+        left = step.where("medoid IS NULL").select(left.columns)
+        if not left.limit(1).count():
+            break
+    name = one.join(rows.select("component", "u", "rep"), ["component", "u"]).select("idx", "component", "rep")
+    return name.join(done, "rep").select("idx", "component", "medoid", "degree", "medoid_cosine")
+
+
 def describe_clusters(clusters: DataFrame, typical: int = 3) -> DataFrame:
     """One row (cluster_id, component, size, typical) a cluster: `typical` has the ids of the members nearest to the medoid.
 
