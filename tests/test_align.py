@@ -1,3 +1,7 @@
+import itertools
+import os
+
+import numpy as np
 import pytest
 
 from vecloom.operators import align
@@ -85,3 +89,32 @@ def test_cluster_stats(spark):
     rows = {r["cluster_id"]: r for r in align.sequence_identity_stats(df).collect()}
     assert rows[2]["mean_seq_identity"] == 100.0 and rows[2]["std_seq_identity"] == 0.0
     assert rows[1]["max_seq_identity"] == 100.0 and rows[1]["min_seq_identity"] < 97 and 3 not in rows
+
+
+def test_cluster_stats_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    seqs = [S5[:4]] * 40 + ["".join(rng.choice(S5) for _ in range(6)) for _ in range(3)]
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(seqs[-43:])] + [(2, i, s) for i, s in enumerate(seqs[-5:])], "cluster_id int, id int, sequence string")
+    rows = {r["cluster_id"]: r for r in align.sequence_identity_stats(df, block_rows=8).collect()}
+    for c, n in ((1, 43), (2, 5)):
+        want = [pid(a, b) for a, b in itertools.combinations(seqs[-n:], 2)]
+        assert list(rows[c])[1:] == pytest.approx([np.mean(want), min(want), max(want), np.std(want)], abs=1e-6)
+    many = spark.createDataFrame([(1, i, s) for i, s in enumerate(["A"] * 1000 + ["C"])], "cluster_id int, id int, sequence string")
+    found = align.sequence_identity_stats(many).first()
+    assert found["mean_seq_identity"] == pytest.approx(100 * (1 - 1000 / (1001 * 500)), abs=1e-6) and found["min_seq_identity"] == 0.0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_queries_take_whole_tables(spark):
+    from vecloom.plans import queries
+
+    n = spark.read.parquet(f"{SF}/flagged_examples.parquet").count()
+    clusters = spark.read.parquet(f"{SF}/clusters.parquet").join(spark.read.parquet(f"{SF}/sequences.parquet").where("sequence IS NOT NULL").selectExpr("id AS member_id").distinct(), "member_id")
+    # only keys are asked for, so nothing is aligned for the first
+    assert queries.pairwise_identity(spark, SF).select("i", "j").count() == n * (n + 1) // 2
+    assert queries.sequence_identity_stats(spark, SF).count() == clusters.where("cluster_id IS NOT NULL AND run_id IS NOT NULL").select("run_id", "cluster_id").distinct().count()

@@ -154,20 +154,25 @@ def pairwise_identity(sequences: DataFrame, mode: str = "global", id_col: str =
     return a.join(b, ["bi", "bj"]).where("i <= j").select("i", "j", F.round(identity("s", "t", mode), 6).alias("pid"))
 
 
-def sequence_identity_stats(members: DataFrame, cluster: str = "cluster_id", id_col: str = "id", text_col: str = "sequence", max_samples: int = 1000) -> DataFrame:
+def sequence_identity_stats(members: DataFrame, cluster: str = "cluster_id", id_col: str = "id", text_col: str = "sequence", max_samples: int | None = None, block_rows: int = 128) -> DataFrame:
     """(cluster_id, mean, min, max, std of pid) over the pairs of a cluster's sequences; a cluster of one has 100, 100, 100, 0.
 
-    Clusters of over max_samples sequences are measured on those with the smallest hash of the id. The deviation is of the
+    All pairs are aligned, in blocks of about block_rows by block_rows sequences. Only where max_samples is given, clusters
+    of over max_samples sequences are measured on those with the smallest hash of the id. The deviation is of the
     population, and 0 for up to two sequences.
     """
-    m = members.select(F.col(cluster).alias("cluster_id"), F.col(id_col).alias("idx"), F.col(text_col).alias("sequence")).where("sequence IS NOT NULL")
-    s = sample_members(m, max_samples)
+    s = members.select(F.col(cluster).alias("cluster_id"), F.col(id_col).alias("idx"), F.col(text_col).alias("sequence")).where("sequence IS NOT NULL")
+    if max_samples is not None:
+        s = sample_members(s, max_samples).drop("size")
     n = s.groupBy("cluster_id").agg(F.count("*").alias("n"))
     p = F.col("pid")
-    a = s.select("cluster_id", F.col("idx").alias("i"), F.col("sequence").alias("s"))
-    b = s.select("cluster_id", F.col("idx").alias("j"), F.col("sequence").alias("t"))
-    pid = a.join(b, "cluster_id").where("i < j").withColumn("pid", identity("s", "t"))
-    per = pid.groupBy("cluster_id").agg(F.avg(p).alias("mean"), F.min(p).alias("min"), F.max(p).alias("max"), F.stddev_pop(p).alias("std"))
+    blocks = n.where("n > 1").select("cluster_id", F.ceil(F.col("n") / block_rows).alias("g"))
+    s = s.join(blocks, "cluster_id").withColumn("own", F.pmod(F.xxhash64("idx"), F.col("g"))).withColumn("other", F.explode(F.expr("sequence(0L, g - 1)")))
+    a = s.select("cluster_id", F.col("own").alias("bi"), F.col("other").alias("bj"), F.col("idx").alias("i"), F.col("sequence").alias("s"))
+    b = s.select("cluster_id", F.col("other").alias("bi"), F.col("own").alias("bj"), F.col("idx").alias("j"), F.col("sequence").alias("t"))
+    # few bytes make much work, so the pairs are dealt out anew and not left in the partitions of the join
+    pairs = a.join(b, ["cluster_id", "bi", "bj"]).where("i < j").select("cluster_id", "s", "t").repartition(members.sparkSession.sparkContext.defaultParallelism * 4)
+    per = pairs.withColumn("pid", identity("s", "t")).groupBy("cluster_id").agg(F.avg(p).alias("mean"), F.min(p).alias("min"), F.max(p).alias("max"), F.stddev_pop(p).alias("std"))
     one, two = F.col("n") == 1, F.col("n") <= 2
     return n.join(per, "cluster_id", "left").select(
         "cluster_id", *[F.round(F.when(one, F.lit(100.0)).otherwise(F.col(c)), 6).alias(f"{c}_seq_identity") for c in ("mean", "min", "max")], F.round(F.when(two, F.lit(0.0)).otherwise(F.col("std")), 6).alias("std_seq_identity")

@@ -407,14 +407,18 @@ ORACLE["csv_to_fasta_records"] = f"WITH {_CLEAN} SELECT id, trim(translate(descr
 @query()
 def pairwise_identity(spark, sf):
     """All pairs of the benchmark-sized table of labelled passages, as upper-case letters."""
-    s = table(spark, sf, "flagged_examples").where("category = 'hateful'")
+    s = table(spark, sf, "flagged_examples")
     return align.pairwise_identity(s.select(F.col("example_id").alias("seq_pos"), F.upper(F.regexp_replace("passage", "[^A-Za-z]", "")).alias("sequence")))
 
 
 @query()
 def sequence_identity_stats(spark, sf):
-    s = table(spark, sf, "flagged_examples").select(F.col("category").alias("cluster_id"), F.col("example_id").alias("id"), F.upper(F.regexp_replace("passage", "[^A-Za-z]", "")).alias("sequence"))
-    return align.sequence_identity_stats(s.where("cluster_id IN ('hateful', 'sexual')"))
+    """All clusters of all runs, with the last sequence of each member's id; members without a sequence are left out."""
+    s = fasta.last_sequences(records(spark, sf).where("id IS NOT NULL AND sequence IS NOT NULL"))
+    s = s.select("id", F.upper(F.regexp_replace("sequence", "[^A-Za-z]", "")).alias("sequence"))
+    c = table(spark, sf, "clusters").where("run_id IS NOT NULL AND cluster_id IS NOT NULL")
+    c = c.select(F.concat_ws(":", "run_id", "cluster_id").alias("cluster_id"), F.col("member_id").alias("id")).distinct()
+    return align.sequence_identity_stats(c.join(s, "id"))
 
 
 @query()
