@@ -143,6 +143,17 @@ def test_neighbours(spark, monkeypatch, blocks):
     assert got <= true and len(got) >= 0.95 * len(true)
 
 
+@pytest.mark.parametrize("block", [100_000, 400])
+def test_neighbours_of_all_that_are_not_near(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 15)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", block)
+    x = np.random.default_rng(2).standard_normal((1000, DIM)).astype(np.float32)
+    want = exact_neighbours(x, 5)
+    rows = neighbours.nearest_neighbours(frame(spark, list(enumerate(x.tolist()))), 5, DIM).collect()
+    hits = sum(r["neighbour"] in {j for j, _ in want[r["idx"]]} for r in rows)
+    assert len(rows) == 5 * len(x) and hits >= 0.9 * len(rows)
+
+
 @pytest.mark.parametrize("block", [100_000, 3])
 def test_neighbours_of_given_queries(spark, monkeypatch, block):
     monkeypatch.setattr(neighbours, "QUERY_ROWS", block)

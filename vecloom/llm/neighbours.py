@@ -27,7 +27,9 @@ BLOCK_ROWS = 8_000
 COLUMNS = 16
 #: Lists that a query of a stated set visits at the least.
 LEAST_VISITS = 32
-#: Queries of a stated set that the tasks hold at once.
+#: Cosine from which on the lists near a vector's own hold its neighbours.
+NEAR = 0.9
+#: Queries that the tasks hold at once.
 QUERY_ROWS = 100_000
 #: Standard deviations that a partial distance may stay below its expectation before a candidate is abandoned.
 TEST = 3.0
@@ -150,14 +152,14 @@ def nearest_neighbours(
 
     All vectors are indexed. Centroids are fitted on the SAMPLE_ROWS rows with the smallest hash of the id.
 
-    Without `queries`, a vector visits at most `probes` lists, and of these only the ones whose border with its own list is
-    within `margin`, and is stored in all of them, so that two vectors meet if they have any list in common. 0.17 is
-    three standard deviations of a cosine-0.9 neighbour's offset towards a border in 64 dimensions: this finds what is
-    near, and of what is not near only a part.
+    With a `least` of NEAR or more and without `queries`, a vector visits at most `probes` lists, and of these only the ones whose border with
+    its own list is within `margin`, and is stored in all of them, so that two vectors meet if they have any list in common.
+    0.17 is three standard deviations of a cosine-0.9 neighbour's offset towards a border in 64 dimensions.
 
-    With `queries`, a stated set, a vector is stored in its nearest list and every query visits the nearest `share` of all
-    lists, and LEAST_VISITS at the least, which also finds neighbours that are not near. Queries go to the tasks in blocks of QUERY_ROWS, and a task keeps
-    the k best so far of each, which also tightens the test of what it reads next.
+    Otherwise a vector is stored in its nearest list and every query visits the nearest `share` of all lists, and
+    LEAST_VISITS at the least, which also finds neighbours that are not near. Queries, a stated set or all vectors, go to
+    the tasks in blocks of QUERY_ROWS, and a task keeps the k best so far of each, which also tightens the test of what it
+    reads next.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
     q = None if queries is None else queries.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
@@ -168,6 +170,8 @@ def nearest_neighbours(
     centroids = fit_centroids(unit_rows(x), lists) if len(x) else np.zeros((1, dim), np.float32)
     gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0)).astype(np.float32)
 
+    if q is None and least < NEAR:
+        q = v
     if q is not None:
         return _asked(v, q, k, dim, least, max(min(lists, LEAST_VISITS), math.ceil(share * lists)), centroids)
 
