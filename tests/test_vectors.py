@@ -116,6 +116,19 @@ def test_cohesion_of_one_and_of_samples(spark, data):
     assert stats.cohesion_summary(stats.cluster_cohesion(m, min_size=61)).first()["n_clusters"] == 0
 
 
+def test_cohesion_of_all_members(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK_ROWS", 300)
+    x = np.random.default_rng(5).standard_normal((1300, 8))
+    df = spark.createDataFrame([(int(i >= 1200), i, v.tolist()) for i, v in enumerate(x)] + [(2, 9000, x[0].tolist())], "cluster_id int, idx int, embedding array<double>")
+    found = {r["cluster_id"]: r for r in stats.cluster_cohesion(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for c, own in ((0, u[:1200]), (1, u[1200:])):
+        sim = (own @ own.T)[np.triu_indices(len(own), 1)]
+        to = own @ (own.mean(0) / np.linalg.norm(own.mean(0)))
+        assert list(found[c])[1:] == pytest.approx([len(own), sim.mean(), sim.min(), sim.max(), sim.std(), 1 - to.min(), to.mean()], abs=2e-9)
+    assert list(found[2]) == [2, 1, 1.0, 1.0, 1.0, 0.0, 0.0, 1.0]
+
+
 def test_contig(data, monkeypatch):
     df, x = data
     monkeypatch.setattr(contig, "BLOCK_ROWS", 17)

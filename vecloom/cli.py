@@ -60,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--resolution", type=float, default=0.1)
     c.add_argument("--mst-cut-threshold", type=float, default=0.1)
     c.add_argument("--min-cluster-size", type=int, default=2)
-    c.add_argument("--max-samples", type=int, default=1000)
+    c.add_argument("--max-samples", type=int, default=None)
     c.add_argument("--sequence-alignment", action="store_true")
     c = command("find-peak", help="intervals of a score column")
     c.add_argument("--input", "-i", required=True)

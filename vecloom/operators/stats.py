@@ -12,6 +12,12 @@ from vecloom.functions.vectors import dot, normalize
 
 COHESION = "cluster_id long, size long, mean_similarity double, min_similarity double, max_similarity double, std_similarity double, radius double, mean_centroid_similarity double"
 
+#: Clusters above this are cut into blocks, and every pair of blocks is measured.
+BLOCK_ROWS = 4_000
+_PART = "cluster_id long, size long, n long, mean double, m2 double, low double, high double"
+_PART_NAMES = [c.split()[0] for c in _PART.split(", ")]
+_PART_TYPES = [pa.int64()] + [pa.float64()] * 4
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -32,30 +38,73 @@ def sample_members(members: DataFrame, max_samples: int, cluster: str = "cluster
     return kept.join(size, cluster)
 
 
-def cluster_cohesion(members: DataFrame, max_samples: int = 1000, min_size: int = 1, cluster: str = "cluster_id", id_col: str = "idx", vector_col: str = "embedding") -> DataFrame:
+def cluster_cohesion(members: DataFrame, max_samples: int | None = None, min_size: int = 1, cluster: str = "cluster_id", id_col: str = "idx", vector_col: str = "embedding") -> DataFrame:
     """One row a cluster: size; mean, min, max and population standard deviation of the pairwise cosine; radius; mean cosine to the centroid.
 
-    A cluster of one has similarity 1, deviation 0, radius 0 and centroid similarity 1; the deviation of two is 0. Clusters
-    of over max_samples members are measured on those with the smallest hash of the id, so a task holds max_samples rows.
+    A cluster of one has similarity 1, deviation 0, radius 0 and centroid similarity 1; the deviation of two is 0. All
+    members count: clusters of over BLOCK_ROWS members are measured in pairs of blocks, which are then combined. Only
+    where max_samples is given, clusters of over max_samples members are measured on those with the smallest hash of the id.
     Rows without a cluster or vector are left out. Values are rounded to 9 decimals.
     """
     m = members.select(F.col(cluster).cast("long").alias("cluster_id"), F.col(id_col).alias("idx"), F.col(vector_col).alias("x")).where("cluster_id IS NOT NULL AND x IS NOT NULL")
-    s = sample_members(m, max_samples).where(F.col("size") >= min_size)
+    if max_samples is not None:
+        s = sample_members(m, max_samples)
+    else:
+        s = m.join(m.groupBy("cluster_id").agg(F.count("*").alias("size")), "cluster_id")
+    s = s.where(F.col("size") >= min_size)
+    g = F.ceil((F.least("size", F.lit(max_samples)) if max_samples is not None else F.col("size")) / BLOCK_ROWS)
+    s = s.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("idx"), F.col("g")))
+    pairs = s.withColumn("other", F.explode(F.expr("sequence(0L, g - 1)"))).select("cluster_id", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "size", "x")
 
     def measure(table: pa.Table) -> pa.Table:
+        own, bi, bj = table.column("own").to_numpy(), table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
         x = _unit(_matrix(table.column("x")))
-        n = len(x)
-        if n == 1:
-            values = [1.0, 1.0, 1.0, 0.0, 0.0, 1.0]
+        a, b = x[own == bi], x[own == bj]
+        parts = []
+        for t in range(0, len(a), 512):
+            sim = a[t : t + 512] @ b[t if bi == bj else 0 :].T
+            sim = sim[np.triu_indices(len(sim), 1, sim.shape[1])] if bi == bj else sim.ravel()
+            if len(sim):
+                parts.append((len(sim), sim.mean(), ((sim - sim.mean()) ** 2).sum(), sim.min(), sim.max()))
+        parts.append((0, 0.0, 0.0, np.inf, -np.inf))  # a cluster of one has a row, too
+        return pa.table([pa.array([table.column(c)[0].as_py()] * len(parts), pa.int64()) for c in ("cluster_id", "size")] + [pa.array(v, t) for v, t in zip(zip(*parts), _PART_TYPES)], names=_PART_NAMES)
+
+    def combine(table: pa.Table) -> pa.Table:
+        n, mean, m2, low, high = (table.column(c).to_numpy() for c in _PART_NAMES[2:])
+        total = n.sum()
+        if total:
+            mid = (n * mean).sum() / total
+            values = [mid, low.min(), high.max(), np.sqrt((m2 + n * (mean - mid) ** 2).sum() / total) if total > 1 else 0.0]
         else:
-            sim = (x @ x.T)[np.triu_indices(n, 1)]
-            centroid = _unit(x.mean(axis=0, keepdims=True))[0]
-            to = x @ centroid
-            values = [sim.mean(), sim.min(), sim.max(), sim.std() if n > 2 else 0.0, 1 - to.min(), to.mean()]
-        out = [[table.column("cluster_id")[0].as_py()], [table.column("size")[0].as_py()], *([round(float(v), 9)] for v in values)]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(v, pa.float64()) for v in out[2:])], names=[c.split()[0] for c in COHESION.split(", ")])
-
-    return s.groupBy("cluster_id").applyInArrow(measure, COHESION)
+            values = [1.0, 1.0, 1.0, 0.0]
+        return pa.table([table.column(c).slice(0, 1) for c in ("cluster_id", "size")] + [pa.array([round(float(v), 9)], pa.float64()) for v in values], names=[c.split()[0] for c in COHESION.split(", ")][:6])
+
+    def sums(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _unit(_matrix(batch.column(1)))
+                ids, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                total = np.zeros((len(ids), x.shape[1]))
+                np.add.at(total, at, x)
+                yield pa.record_batch([pa.array(ids.astype(np.int64)), fixed_binary(total)], names=["cluster_id", "s"])
+
+    def centre(table: pa.Table) -> pa.Table:
+        width = len(table.column("s")[0].as_py()) // 8
+        return pa.table([table.column("cluster_id").slice(0, 1), fixed_binary(_unit(from_binary(table.column("s"), "float64", width).sum(axis=0, keepdims=True)))], names=["cluster_id", "c"])
+
+    def distance(batches):
+        for batch in batches:
+            x = _unit(_matrix(batch.column(1))) if batch.num_rows else np.empty((0, 1))
+            c = from_binary(batch.column(2), "float64", x.shape[1])
+            yield pa.record_batch([batch.column(0), pa.array((x * c).sum(axis=1))], names=["cluster_id", "to"])
+
+    similar = pairs.groupBy("cluster_id", "bi", "bj").applyInArrow(measure, _PART).groupBy("cluster_id").applyInArrow(combine, ", ".join(COHESION.split(", ")[:6]))
+    centres = s.select("cluster_id", "x").mapInArrow(sums, "cluster_id long, s binary").groupBy("cluster_id").applyInArrow(centre, "cluster_id long, c binary")
+    near = s.select("cluster_id", "x").join(centres, "cluster_id").mapInArrow(distance, "cluster_id long, to double")
+    near = near.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("to").alias("low"), F.avg("to").alias("mean"))
+    one = F.col("n") == 1
+    radius, to = F.when(one, 0.0).otherwise(F.round(1 - F.col("low"), 9)).alias("radius"), F.when(one, 1.0).otherwise(F.round("mean", 9)).alias("mean_centroid_similarity")
+    return similar.join(near.select("cluster_id", radius, to), "cluster_id")
 
 
 def mean_similarity(members: DataFrame, cluster: str = "cluster_id", vector_col: str = "embedding") -> DataFrame:

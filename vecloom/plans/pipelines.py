@@ -12,7 +12,7 @@ from vecloom.sources.store import VectorDB, build_db, write_tsv
 
 
 def cluster_db(
-    db: VectorDB, output: str | None = None, method: str = "leiden", k: int = 30, dist_threshold: float = 0.1, resolution: float = 0.1, mst_cut_threshold: float | None = 0.1, min_cluster_size: int = 2, max_samples: int = 1000, sequence_alignment: bool = False
+    db: VectorDB, output: str | None = None, method: str = "leiden", k: int = 30, dist_threshold: float = 0.1, resolution: float = 0.1, mst_cut_threshold: float | None = 0.1, min_cluster_size: int = 2, max_samples: int | None = None, sequence_alignment: bool = False
 ) -> dict[str, DataFrame]:
     """clusters (representative_id, member_id, cluster_id), cluster_stats and summary of a database, by cosine; as TSV under `output` if given."""
     if method not in ("leiden", "mst"):
