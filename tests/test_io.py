@@ -180,3 +180,14 @@ def test_single_text(spark, path, tmp_path):
     assert fasta.read_fasta(spark, db.fasta_path).count() == 4
     with pytest.raises(FileNotFoundError):
         store.save_db(db.vectors, str(tmp_path / "bare")).fasta_path
+
+
+def test_only_limited_models_cut_texts(spark, monkeypatch):
+    text = "ACDEFGHIKL" * 250
+    df = spark.createDataFrame([(1, text + "MNPQ"), (2, text + "WWWW")], "seq_pos int, sequence string")
+    found = {r["seq_pos"]: r["embedding"] for r in embed.embed(df).collect()}
+    assert found[1] != found[2]
+    assert found[1] == pytest.approx(embed.kmer_vectors([text + "MNPQ"])[0].tolist())
+    monkeypatch.setattr(embed, "MODELS", dict(embed.MODELS))
+    embed.register("lengths", lambda config: lambda texts: np.array([[len(t), 1] for t in texts], dtype=np.float32))
+    assert [r["embedding"] for r in embed.embed(df, embed.EmbedderConfig("lengths", "")).collect()] == [[2048.0, 1.0]] * 2

@@ -83,10 +83,14 @@ class EmbedderConfig:
 MODELS: dict[str, Callable[[EmbedderConfig], Callable[[list[str]], np.ndarray]]] = {}
 #: model_type -> how a sequence is written for the model.
 INPUTS: dict[str, Callable[[str | Column], Column]] = {"t5": t5_input, "glm2": glm2_input}
+#: model types without an input limit, which read whole texts.
+UNLIMITED: set[str] = set()
 
 
-def register(model_type: str, maker: Callable[[EmbedderConfig], Callable[[list[str]], np.ndarray]]) -> None:
+def register(model_type: str, maker: Callable[[EmbedderConfig], Callable[[list[str]], np.ndarray]], limited: bool = True) -> None:
+    """A model that is not `limited` gets whole texts, whatever max_length is."""
     MODELS[model_type] = maker
+    (UNLIMITED.discard if limited else UNLIMITED.add)(model_type)
 
 
 def kmer_vectors(texts: list[str], k: int = 3, dim: int = 64) -> np.ndarray:
@@ -105,7 +109,7 @@ def kmer_vectors(texts: list[str], k: int = 3, dim: int = 64) -> np.ndarray:
     return out
 
 
-register("kmer", lambda config: kmer_vectors)
+register("kmer", lambda config: kmer_vectors, limited=False)
 
 
 def pick_layer(n_layers: int, layer: str | int) -> int:
@@ -131,7 +135,8 @@ def masked_mean(hidden: np.ndarray, mask: np.ndarray | None = None) -> np.ndarra
 def embed(sequences: DataFrame, config: EmbedderConfig | dict | str | None = None, embedder: Callable[[list[str]], np.ndarray] | None = None, text_col: str = "sequence") -> DataFrame:
     """Adds `embedding`. A given embedder, a function from texts to a matrix, wins over the configuration.
 
-    Texts are written as the model wants them and cut at max_length characters. A null text has a null embedding.
+    Texts are written as the model wants them, and cut at max_length characters if the model has an input limit. A null
+    text has a null embedding.
     """
     own = EmbedderConfig.resolve(config)
     maker = (lambda _: embedder) if embedder is not None else MODELS.get(own.model_type)
@@ -151,8 +156,10 @@ def embed(sequences: DataFrame, config: EmbedderConfig | dict | str | None = Non
             yield out
 
     write = INPUTS.get(own.model_type, lambda c: F.col(c))
-    cut = F.substring(write(text_col), 1, own.max_length if own.model_type != "t5" else 2 * own.max_length)
-    return sequences.withColumn("embedding", F.pandas_udf(run, ArrayType(FloatType()))(cut))
+    text = write(text_col)
+    if own.model_type not in UNLIMITED:
+        text = F.substring(text, 1, own.max_length if own.model_type != "t5" else 2 * own.max_length)
+    return sequences.withColumn("embedding", F.pandas_udf(run, ArrayType(FloatType()))(text))
 
 
 def embed_texts(texts: list[str] | str, config: EmbedderConfig | dict | str | None = None) -> np.ndarray:
