@@ -197,3 +197,8 @@ def test_rates(spark, model):
 def test_segment():
     s = abuse.Speller({"would": 1, "reject": 1, "this": 0})
     assert s.segment("wouldreject") == "would reject" and s.segment("wouldrejectthis") == "would reject this" and s.segment("zzzzzz") == "zzzzzz"
+
+
+def test_background_is_whole_documents():
+    words = abuse._spelt(abuse.Speller({}), ["word " * 5000 + "appendix", ""])
+    assert len(words[0]) == 5001 and words[0][-1] == abuse.spelling("appendix") and words[1] == []

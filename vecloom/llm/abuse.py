@@ -215,9 +215,14 @@ def train(examples: list[tuple[list[str], int]], background: list[list[str]], vo
     return Model(at, w[at].astype(np.float32), float(w[-1]), vocabulary)
 
 
+def _spelt(speller: Speller, texts: list[str]) -> list[list[str]]:
+    """The words of whole texts; how many windows are drawn from each does not depend on its length."""
+    return [[spelling(w) for w in speller.words(t)] for t in texts]
+
+
 def fit(examples: DataFrame, documents: DataFrame, seeds: list[tuple[str, int]], most_examples: int = 20_000, background_docs: int = 2000, text_col: str = "passage", label_col: str = "category", id_col: str = "doc_id", doc_col: str = "text") -> Model:
     """Trains on at most `most_examples` labelled passages (those with the smallest hash), the seeds, and, as background,
-    the `background_docs` documents with the smallest hash of the id. A passage is negative if its label is "none"; null
+    the `background_docs` documents with the smallest hash of the id, whole. A passage is negative if its label is "none"; null
     passages and labels are left out. MODELS models, trained side by side with other surroundings and orders, are averaged."""
     own = examples.select(F.col(text_col).alias("p"), F.lower(F.col(label_col)).alias("c")).where("p IS NOT NULL AND c IS NOT NULL")
     own = hash_sample(own, "p", most_examples).orderBy("p", "c").collect()
@@ -230,7 +235,7 @@ def fit(examples: DataFrame, documents: DataFrame, seeds: list[tuple[str, int]],
         for w in words:
             if w.isalpha():
                 score[w] = score.get(w, 0.0) + (1 if y else -1)
-    background = [[spelling(w) for w in bare.words(t)[:4000]] for t in texts]
+    background = _spelt(bare, texts)
 
     def one(batches):
         for batch in batches:
