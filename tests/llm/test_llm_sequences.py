@@ -180,3 +180,19 @@ def test_cut_prefers_stop_marks_then_long_runs():
 def test_long_sequence(spark):
     got = pieces(spark, [(1, "ten", "AX" * 100_000)], overlap=0)
     assert sum(len(r["text"]) for r in got[1]) == 200_000 and np.all([len(r["text"]) <= 10 for r in got[1]])
+
+
+def test_long_records_at_low_thresholds(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        a = [rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(140)]
+        b = list(a)
+        for at in range(rng.randrange(3), 140, 8):
+            b[at] = "B"
+        rows += [(2 * i, "".join(a)), (2 * i + 1, "".join(b))]
+    df = spark.createDataFrame(rows, "seq_pos long, sequence string")
+    w = {i: {s[j : j + 4] for j in range(len(s) - 3)} for i, s in rows}
+    want = {(a, b) for a in w for b in w if a < b and len(w[a] & w[b]) >= 0.3 * len(w[a] | w[b])}
+    pairs, members = neardup.near_duplicate_pairs(df, 0.3, 4)
+    assert len(want) >= 50 and {tuple(r) for r in neardup.record_pairs(pairs, members).select("id_a", "id_b").collect()} == want
