@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vecloom.llm import abuse, mixing, packing, seeds
+from vecloom.llm import abuse, mixing, packing
 
 
 def docs(spark, rows):
@@ -143,10 +143,14 @@ def test_mix_nothing(spark):
 PLAIN = "the spectrum of the operator is computed with a finite mesh and compared to the measured values of the first sample "
 
 
+def labelled(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/flagged_examples.parquet").select("passage", "category")
+
+
 @pytest.fixture(scope="module")
 def model(spark):
-    flagged = spark.createDataFrame([("you rotten idiot, shut up", "abusive"), ("the idiot strings of the code", "none"), (None, "abusive"), ("x", None)], "passage string, category string")
-    return abuse.fit(flagged, docs(spark, [(i, PLAIN * 6, "s") for i in range(40)]), seeds.passages())
+    extra = spark.createDataFrame([("you rotten idiot, shut up", "abusive"), ("the idiot strings of the code", "none"), (None, "abusive"), ("x", None)], "passage string, category string")
+    return abuse.fit(labelled(spark).unionByName(extra), docs(spark, [(i, PLAIN * 6, "s") for i in range(40)]))
 
 
 def flags(spark, model, texts):
@@ -171,15 +175,15 @@ def test_any_place_of_a_long_text(spark, model):
     assert flags(spark, model, [long + "drop dead, you filthy parasite", long])[0]["flagged"]
 
 
-def test_held_out(spark):
-    pairs = seeds.passages(5) + seeds.passages(6, 4)
-    own = {p for p, _ in seeds.passages(5)}
-    held = [(p, y) for p, y in pairs if p not in own]
-    flagged = spark.createDataFrame([("you idiot", "abusive")], "passage string, category string")
-    m = abuse.fit(flagged, docs(spark, [(i, PLAIN * 6, "s") for i in range(40)]), seeds.passages(5))
-    got = flags(spark, m, [PLAIN + p + ". " + PLAIN for p, _ in held])
-    right = sum(got[i]["flagged"] == bool(y) for i, (_, y) in enumerate(held))
-    assert len(held) > 100 and right / len(held) > 0.93
+@pytest.mark.parametrize("frame", ["shut up%", "honestly %", "keep %", "I want you naked%", "saliva of%", "Sexual dimorphism%"])
+def test_held_out_frame(spark, frame):
+    """Passages of a frame that the model was not trained on, set into plain words."""
+    all_rows = labelled(spark)
+    held = all_rows.where(F.col("passage").like(frame)).collect()
+    m = abuse.fit(all_rows.where(~F.col("passage").like(frame)), docs(spark, [(i, PLAIN * 6, "s") for i in range(40)]))
+    got = flags(spark, m, [PLAIN + r["passage"] + ". " + PLAIN for r in held])
+    right = sum(got[i]["flagged"] == (r["category"] != "none") for i, r in enumerate(held))
+    assert len(held) > 5 and right / len(held) > 0.8
 
 
 def test_null_empty_repeated(spark, model):
@@ -199,6 +203,16 @@ def test_segment():
     assert s.segment("wouldreject") == "would reject" and s.segment("wouldrejectthis") == "would reject this" and s.segment("zzzzzz") == "zzzzzz"
 
 
-def test_background_is_whole_documents():
-    words = abuse._spelt(abuse.Speller({}), ["word " * 5000 + "appendix", ""])
-    assert len(words[0]) == 5001 and words[0][-1] == abuse.spelling("appendix") and words[1] == []
+def test_background_is_whole_documents(spark):
+    windows = abuse.background_windows(docs(spark, [(1, "word " * 5000 + "appendix " * 5000, "s"), (2, "", "s"), (3, None, "s")]), 10, each=200)
+    first = {w for words in windows for w in words}
+    assert first == {"word", abuse.spelling("appendix")} and len(windows) == 200 and all(len(w) == abuse.WINDOW for w in windows)
+
+
+def test_training_table_unseen_words(spark):
+    """Words that stand beside known ones in unlabelled documents become known."""
+    known, unknown = "you stupid bastard", "zorbling gropnik"
+    texts = [(i, PLAIN * 2 + (f"{known} {unknown} {known} " if i % 4 == 0 else "") + PLAIN * 2, "s") for i in range(80)]
+    m = abuse.fit(labelled(spark), docs(spark, texts))
+    got = flags(spark, m, [PLAIN + unknown + " " + PLAIN, PLAIN * 2])
+    assert got[0]["score"] > got[1]["score"]

@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import abuse, clusters, diverse, formatdup, mixing, neardup, neighbours, packing, seeds, splitting
+from vecloom.llm import abuse, clusters, diverse, formatdup, mixing, neardup, neighbours, packing, splitting
+
+
+_MODELS: dict[tuple[str, str], abuse.Model] = {}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def params(spark: SparkSession, sf: str) -> dict[str, float]:
-    """run_params: eight fixed rows."""
-    return {r["param_name"]: r["param_value"] for r in table(spark, sf, "run_params").limit(1000).collect()}
+    """run_params: a fixed table of eight rows."""
+    return {r["param_name"]: r["param_value"] for r in table(spark, sf, "run_params").collect()}
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,8 +116,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return abuse.score_documents(docs, abuse.fit(table(spark, sf, "flagged_examples"), docs, seeds.passages()))
+    """One model serves all queries of a session over the same tables."""
+    docs, key = table(spark, sf, "documents"), (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = abuse.fit(table(spark, sf, "flagged_examples"), docs)
+    return abuse.score_documents(docs, _MODELS[key])
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
