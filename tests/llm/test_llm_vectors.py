@@ -128,11 +128,12 @@ def exact_neighbours(x, k):
 @pytest.mark.parametrize("blocks", [8_000, 30])
 def test_neighbours(spark, monkeypatch, blocks):
     monkeypatch.setattr(neighbours, "LIST_ROWS", 40)
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", blocks)
+    monkeypatch.setattr(neighbours, "NEAR_CELL_ROWS", blocks)
     x = planted()
     want = exact_neighbours(x, 4)
     found = {}
-    for r in neighbours.nearest_neighbours(frame(spark, rows_of(x)), 4, DIM, probes=99, margin=9.0).orderBy("idx", "rank").collect():
+    for r in neighbours.nearest_neighbours(frame(spark, rows_of(x)), 4, DIM, visits=99).orderBy("idx", "rank").collect():
         found.setdefault(r["idx"], []).append((r["neighbour"], r["similarity"]))
     assert sorted(found) == list(range(len(x)))
     hits = sum(len({j for j, _ in want[i]} & {j for j, _ in found[i]}) for i in want)
@@ -146,7 +147,7 @@ def test_neighbours(spark, monkeypatch, blocks):
 @pytest.mark.parametrize("block", [100_000, 400])
 def test_neighbours_of_all_that_are_not_near(spark, monkeypatch, block):
     monkeypatch.setattr(neighbours, "LIST_ROWS", 15)
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", block)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", block)
     x = np.random.default_rng(2).standard_normal((1000, DIM)).astype(np.float32)
     want = exact_neighbours(x, 5)
     rows = neighbours.nearest_neighbours(frame(spark, list(enumerate(x.tolist()))), 5, DIM).collect()
@@ -156,12 +157,12 @@ def test_neighbours_of_all_that_are_not_near(spark, monkeypatch, block):
 
 @pytest.mark.parametrize("block", [100_000, 3])
 def test_neighbours_of_given_queries(spark, monkeypatch, block):
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", block)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", block)
     monkeypatch.setattr(neighbours, "LIST_ROWS", 40)
     x = planted()
     v = frame(spark, rows_of(x))
     want = exact_neighbours(x, 3)
-    rows = neighbours.nearest_neighbours(v, 3, DIM, queries=v.where("idx % 20 = 0"), share=1.0).collect()
+    rows = neighbours.nearest_neighbours(v, 3, DIM, queries=v.where("idx % 20 = 0"), visits=99).collect()
     assert {(r["idx"], r["rank"], r["neighbour"]) for r in rows} == {(i, n + 1, j) for i in range(0, len(x), 20) for n, (j, _) in enumerate(want[i])}
 
 
@@ -171,6 +172,20 @@ def test_ties_go_to_the_smaller_id(spark):
     assert got == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0), (4, 1), (5, 0), (5, 1)]
 
 
+@pytest.mark.parametrize("cell", [20_000, 40])
+@pytest.mark.parametrize("least", [-1.0, 0.9])
+def test_hot_copies(spark, monkeypatch, cell, least):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", cell)
+    monkeypatch.setattr(neighbours, "NEAR_CELL_ROWS", cell)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 20)
+    monkeypatch.setattr(neighbours, "NEAR_LIST_ROWS", 20)
+    x = np.concatenate([planted(), np.repeat(planted(seed=4)[:1], 300, axis=0)])
+    want = exact_neighbours(x, 5)
+    rows = neighbours.nearest_neighbours(frame(spark, list(enumerate(x.tolist()))).repartition(7), 5, DIM, least=least, visits=99, probes=99, margin=9.0).collect()
+    true = {(i, n + 1, j) for i in want for n, (j, c) in enumerate(want[i]) if c >= least}
+    assert {(r["idx"], r["rank"], r["neighbour"]) for r in rows} == true and len(rows) == len(true)
+
+
 def dispersion(x, chosen):
     s = cosines(x)
     return sum(np.sqrt(max(0, 2 - 2 * s[i, j])) for i in chosen for j in chosen if i < j)

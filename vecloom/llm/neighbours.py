@@ -11,26 +11,28 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import fixed_binary, from_binary, mix64, unit_rows, vector_block
 from vecloom.functions.sampling import hash_sample
+from vecloom.session import materialize
 
-#: Rows that the centroids are fitted on, and the aim for rows in a list.
+#: Rows that the centroids are fitted on, and lists at the most: a centroid needs some rows of the sample.
 SAMPLE_ROWS = 40_000
-LIST_ROWS = 500
 MOST_LISTS = 4_096
-#: Lists above this are cut into blocks; a query visits all blocks of a list.
-BLOCK_ROWS = 8_000
+#: Rows aimed at in a list: where neighbours near each other are wanted only, and where all are.
+NEAR_LIST_ROWS, LIST_ROWS = 500, 100
+#: A cell compares at most about this many stored rows with as many asking rows, near and otherwise.
+NEAR_CELL_ROWS, CELL_ROWS = 2_000, 20_000
 COLUMNS = 16
-#: Lists that a query of a stated set visits at the least.
-LEAST_VISITS = 32
+#: Of n lists, a query for neighbours at any distance visits VISITS * n ** GROWTH.
+VISITS, GROWTH = 1.6, 0.7
 #: Cosine from which on the lists near a vector's own hold its neighbours.
 NEAR = 0.9
-#: Queries that the tasks hold at once.
-QUERY_ROWS = 100_000
 #: Standard deviations that a partial distance may stay below its expectation before a candidate is abandoned.
 TEST = 3.0
 
@@ -80,10 +82,10 @@ def _rotation(dim: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(99).standard_normal((dim, dim)))[0].astype(np.float32)
 
 
-def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids: np.ndarray, base_ids: np.ndarray, rotation: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids: np.ndarray | None, base_ids: np.ndarray, rotation: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, base row, cosine) of the k nearest base rows of each query with a cosine of at least `least`.
 
-    Unit rows in double precision. Equal ids are the same vector and are left out. Ties go to the smaller base id.
+    Unit rows in double precision. Equal ids are the same vector and are left out, if `query_ids` are given. Ties go to the smaller base id.
     `known` has a cosine for each query below which nothing is wanted.
     """
     dim, out = base.shape[1], []
@@ -121,8 +123,9 @@ def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids:
                 keep = part <= most[alive[0]]
                 alive, part = (alive[0][keep], alive[1][keep]), part[keep]
         r, c = alive
-        differ = query_ids[r + s] != base_ids[c]
-        r, c = r[differ], c[differ]
+        if query_ids is not None:
+            differ = query_ids[r + s] != base_ids[c]
+            r, c = r[differ], c[differ]
         cos = np.empty(len(r))
         for t in range(0, len(r), 1 << 17):
             cos[t : t + (1 << 17)] = np.einsum("ij,ij->i", queries[r[t : t + (1 << 17)] + s], base[c[t : t + (1 << 17)]])
@@ -141,137 +144,184 @@ def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, query_ids:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 5, dim: int = 64, queries: DataFrame | None = None, least: float = -1.0, probes: int = 4, margin: float = 0.17, share: float = 0.45, id_col: str = "idx", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 5, dim: int = 64, queries: DataFrame | None = None, least: float = -1.0, probes: int = 4, margin: float = 0.17, visits: int | None = None, id_col: str = "idx", vector_col: str = "embedding"
 ) -> DataFrame:
     """Rows (idx, rank, neighbour, similarity): for every query the k most similar other vectors with a cosine of at least `least`.
 
     `queries` is a table of the same columns, by default the vectors themselves; a query's own id is never its neighbour.
     Similarities are cosines in double precision, rounded to 6 decimals; ties go to the smaller id. Null ids and invalid
-    vectors (null, wrong size, not finite, zero) are left out on both sides; rows with the same id are one vector; exact
-    copies under other ids are neighbours. A query with fewer neighbours has fewer rows. Other columns are ignored.
+    vectors (null, wrong size, not finite, zero) are left out on both sides; rows with the same id are one vector (of
+    different ones, one asks and all are found); exact copies under other ids are neighbours. A query with fewer neighbours
+    has fewer rows. Other columns are ignored.
 
-    All vectors are indexed. Centroids are fitted on the SAMPLE_ROWS rows with the smallest hash of the id.
+    All vectors are indexed. Centroids are fitted on the SAMPLE_ROWS rows with the smallest hash of the id. Exact copies are
+    stored and asked for once, with the k + 1 smallest of their ids, so that a hot vector costs what any other does.
 
-    With a `least` of NEAR or more and without `queries`, a vector visits at most `probes` lists, and of these only the ones whose border with
-    its own list is within `margin`, and is stored in all of them, so that two vectors meet if they have any list in common.
-    0.17 is three standard deviations of a cosine-0.9 neighbour's offset towards a border in 64 dimensions.
+    With a `least` of NEAR or more a vector visits at most `probes` lists, of these only the ones whose border with its own
+    list is within `margin`, and is stored in all of them, so that two vectors meet if they have any list in common. 0.17 is
+    three standard deviations of a cosine-0.9 neighbour's offset towards a border in 64 dimensions.
 
-    Otherwise a vector is stored in its nearest list and every query visits the nearest `share` of all lists, and
-    LEAST_VISITS at the least, which also finds neighbours that are not near. Queries, a stated set or all vectors, go to
-    the tasks in blocks of QUERY_ROWS, and a task keeps the k best so far of each, which also tightens the test of what it
-    reads next.
+    Otherwise a vector is stored in its nearest list and a query visits the nearest `visits` lists (by default a number that
+    grows with the lists to the power GROWTH). Lists beside each other share a cell, to which a query goes once.
+
+    Both sides of a cell are cut into blocks, and every pair of blocks is a task's group of its own, so no group grows with
+    a list. Vectors and queries are written once to the shared folder, without copies; nothing but a count for each list
+    comes to the driver.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
-    q = None if queries is None else queries.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
-    n = v.count()
-    sample = hash_sample(v.where((F.size("x") == dim) & F.col("idx").isNotNull()), "idx", SAMPLE_ROWS).toArrow()
-    _, x = vector_block(sample.column("idx"), sample.column("x"), dim)
-    lists = int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x))))
+    near = least >= NEAR
+    stored = _classes(vectors, k, dim, id_col, vector_col)
+    asking = stored if queries is None else _classes(queries, k, dim, id_col, vector_col)
+    base, asks = (t.where("x IS NOT NULL").groupBy("key").agg(F.first("x").alias("x"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")) for t in (stored, asking))
+    base = materialize(base, "classes")
+    asks = base if queries is None else asks
+    n = base.count()
+    sample = hash_sample(base.select("key", "x"), "key", SAMPLE_ROWS).toArrow()
+    x = from_binary(sample.column("x"), "float32", dim).astype(np.float64)
+    lists = int(min(MOST_LISTS, max(1, n // (NEAR_LIST_ROWS if near else LIST_ROWS)), max(1, len(x))))
     centroids = fit_centroids(unit_rows(x), lists) if len(x) else np.zeros((1, dim), np.float32)
     gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0)).astype(np.float32)
-
-    if q is None and least < NEAR:
-        q = v
-    if q is not None:
-        return _asked(v, q, k, dim, least, max(min(lists, LEAST_VISITS), math.ceil(share * lists)), centroids)
-
-    def sizes(batches):
-        for batch in batches:
-            _, x = vector_block(batch.column(0), batch.column(1), dim)
-            unit = unit_rows(x).astype(np.float32)
-            where, many = np.unique(_visits(unit, centroids, gap, probes, margin)[1], return_counts=True)
-            yield pa.record_batch([pa.array(where.astype(np.int64)), pa.array(many.astype(np.int64))], names=["list", "n"])
-
-    counted = v.mapInArrow(sizes, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_ROWS).collect()
-    cut = np.ones(lists, dtype=np.int64)
-    for r in counted:
-        cut[r["list"]] = math.ceil(r["n"] / BLOCK_ROWS)
-    offset = np.r_[0, np.cumsum(cut)]
-
-    def spread(batches):
-        for batch in batches:
-            ids, x = vector_block(batch.column(0), batch.column(1), dim)
-            row, to = _visits(unit_rows(x).astype(np.float32), centroids, gap, probes, margin)
-            own = (mix64(ids[row]) % cut[to].astype(np.uint64)).astype(np.int64)
-            # one row where it is stored and asked, then one for each further block of the list that it asks
-            yield _rows(offset[to] + own, np.full(len(row), 3), ids[row], x[row])
-            for j in range(1, int(cut[to].max(initial=1))):
-                more = cut[to] > j
-                at = offset[to[more]] + (own[more] + j) % cut[to[more]]
-                yield _rows(at, np.full(len(at), 2), ids[row[more]], x[row[more]])
-
-    def _rows(at, role, ids, x):
-        return pa.record_batch([pa.array(at.astype(np.int64)), pa.array(role.astype(np.int8)), pa.array(ids), fixed_binary(x.astype(np.float32))], names=["block", "role", "idx", "x"])
-
-    rows = v.mapInArrow(spread, "block long, role tinyint, idx long, x binary")
+    visits = lists if lists < 2 else min(lists, visits or math.ceil(VISITS * lists**GROWTH))
+
+    if near:  # every list has a cell
+        cell_of, most = np.arange(lists), NEAR_CELL_ROWS
+    else:  # centroids that are near each other share one
+        most = CELL_ROWS
+        many = max(1, min(lists, round(n / most)))
+        cell_of = _nearest(centroids, fit_centroids(centroids.astype(np.float64), many))[0]
+
+    def stores(unit):
+        if near:
+            return _visits(unit, centroids, gap, probes, margin)
+        return np.arange(len(unit)), _nearest(unit, centroids)[0]
+
+    def asked(unit):
+        """(row, cell, cosine that a list's centroid needs) of the cells that each row asks."""
+        if near:
+            row, to = _visits(unit, centroids, gap, probes, margin)
+            return row, to, np.full(len(row), -2, np.float32)
+        rows, cells, cuts = [], [], []
+        for s in range(0, len(unit), 2048):
+            y = unit[s : s + 2048] @ centroids.T
+            cut = np.partition(y, lists - visits, axis=1)[:, lists - visits] - np.float32(1e-6)
+            r, t = np.nonzero(y >= cut[:, None])
+            both = np.unique(r * np.int64(lists) + cell_of[t])
+            rows.append(both // lists + s)
+            cells.append(both % lists)
+            cuts.append(cut[both // lists])
+        return (np.concatenate(z) if z else np.empty(0, t) for z, t in ((rows, np.int64), (cells, np.int64), (cuts, np.float32)))
+
+    def counter(place):
+        def count(batches):
+            for batch in batches:
+                unit = unit_rows(from_binary(batch.column(0), "float32", dim).astype(np.float64)).astype(np.float32)
+                where, many = np.unique(place(unit), return_counts=True)
+                yield pa.record_batch([pa.array(where.astype(np.int64)), pa.array(many.astype(np.int64))], names=["cell", "n"])
+
+        return count
+
+    def cuts(table, place):
+        found = table.select("x").mapInArrow(counter(place), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        cut = np.ones(lists, dtype=np.int64)
+        for r in found:
+            cut[r["cell"]] = math.ceil(r["n"] / most)
+        return cut
+
+    own = cuts(base, lambda unit: cell_of[stores(unit)[1]])
+    other = own if near and queries is None else cuts(asks, lambda unit: list(asked(unit))[1])
+    offset = np.r_[0, np.cumsum(own * other)]
+    one_table = near and queries is None
+
+    def spread(role):
+        def run(batches):
+            for batch in batches:
+                x = from_binary(batch.column("x"), "float32", dim)
+                unit = unit_rows(x.astype(np.float64)).astype(np.float32)
+                if role & 1:
+                    row, to = stores(unit)
+                    need = np.full(len(row), -2, np.float32)
+                else:
+                    row, to, need = asked(unit)
+                key = np.array([int.from_bytes(c[:8], "little") for c in batch.column("key").to_pylist()], dtype=np.uint64)[row]
+                cell = cell_of[to] if role & 1 and not near else to
+                mine, theirs = (key % own[cell].astype(np.uint64)).astype(np.int64), (mix64(key, 4) % other[cell].astype(np.uint64)).astype(np.int64)
+                if role & 1:  # in its block of stored rows, beside all blocks of asking rows; in one of these it asks too
+                    for j in range(int(other[cell].max(initial=1))):
+                        on = other[cell] > j
+                        yield rows(batch, row[on], (offset[cell] + mine * other[cell] + j)[on], np.where(one_table & (theirs[on] == j), 3, 1), to[on], need[on])
+                if role & 2:
+                    for j in range(int(own[cell].max(initial=1))):
+                        on = (own[cell] > j) & ~(one_table & (mine == j))
+                        yield rows(batch, row[on], (offset[cell] + j * other[cell] + theirs)[on], np.full(int(on.sum()), 2), to[on], need[on])
+
+        def rows(batch, row, at, part, to, need):
+            taken = batch.take(pa.array(row))
+            return pa.record_batch([pa.array(at), pa.array(part.astype(np.int8)), pa.array(to.astype(np.int32)), pa.array(need), *(taken.column(c) for c in ("key", "ids", "x"))], names=list(_CELL))
+
+        return run
+
+    schema = ", ".join(f"{c} {t}" for c, t in _CELL.items())
+    cells = base.select("key", "ids", "x").mapInArrow(spread(3 if one_table else 1), schema)
+    if not one_table:
+        cells = cells.unionByName(asks.select("key", "ids", "x").mapInArrow(spread(2), schema))
     rotation = _rotation(dim)
 
     def search(table: pa.Table) -> pa.Table:
-        idx, role = table.column("idx").to_numpy(), table.column("role").to_numpy()
-        x = from_binary(table.column("x"), "float32", dim)
-
-        def chosen(bit):
-            at = np.flatnonzero(role & bit)
-            ids, first = np.unique(idx[at], return_index=True)
-            return ids, unit_rows(x[at[first]].astype(np.float64))
-
-        base_ids, base = chosen(1)
-        ask_ids, ask = chosen(2)
-        if not len(base_ids) or not len(ask_ids):
-            r, c, cos = np.empty(0, int), np.empty(0, int), np.empty(0)
-        else:
-            r, c, cos = scan(ask, base, k, least, ask_ids, base_ids, rotation)
-        return pa.table({"idx": ask_ids[r], "neighbour": base_ids[c], "similarity": cos})
-
-    found = rows.groupBy("block").applyInArrow(search, "idx long, neighbour long, similarity double")
-    found = found.repartition("idx").dropDuplicates(["idx", "neighbour"])  # lists may share both
-    ranked = Window.partitionBy("idx").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("idx", "rank", "neighbour", "similarity")
-
-
-def _asked(v: DataFrame, q: DataFrame, k: int, dim: int, least: float, visits: int, centroids: np.ndarray) -> DataFrame:
-    """The k nearest of the rows of q among those of v, each query visiting its `visits` nearest lists."""
-    spark, rotation = v.sparkSession, _rotation(dim)
-    blocks = max(1, math.ceil(q.count() / QUERY_ROWS))
-
-    def placed(batches):
+        role, to = table.column("role").to_numpy(), table.column("list").to_numpy()
+        x = unit_rows(from_binary(table.column("x"), "float32", dim).astype(np.float64))
+        b, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        first = table.column("ids").combine_chunks() if isinstance(table.column("ids"), pa.ChunkedArray) else table.column("ids")
+        rep = first.flatten().to_numpy()[first.offsets.to_numpy()[:-1] - first.offsets.to_numpy()[0]]
+        best, best_id = np.full((len(q), k + 1), -2.0), np.full((len(q), k + 1), np.iinfo(np.int64).max)
+        at_rep = {}
+        for t in np.unique(to[b]):
+            mine = b[to[b] == t] if not near else b
+            ask = np.arange(len(q)) if near else np.flatnonzero(x[q].astype(np.float32) @ centroids[t] >= table.column("need").to_numpy()[q])
+            if not len(ask):
+                continue
+            r, c, cos = scan(x[q[ask]], x[mine], k + 1, least, None, rep[mine], rotation, None if near else np.maximum(best[ask, -1], least))
+            at_rep.update(zip(rep[mine[np.unique(c)]].tolist(), mine[np.unique(c)].tolist()))
+            _merge(best, best_id, ask[r], rep[mine[c]], cos)
+        r, c = np.nonzero(best > -2)
+        taken = pa.array([at_rep[i] for i in best_id[r, c].tolist()], pa.int64())
+        return pa.table({"key": table.column("key").take(pa.array(q[r])), "similarity": best[r, c], "ids": table.column("ids").take(taken)})
+
+    found = cells.groupBy("cell").applyInArrow(search, "key binary, similarity double, ids array<long>")
+    each = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("similarity")).alias("s"), i.alias("id")))))
+    best = found.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(each)), 1, k + 1).alias("best"))
+    who = asking.groupBy("idx").agg(F.min("key").alias("key"))
+    others = who.join(best, "key").select("idx", F.posexplode(F.slice(F.filter("best", lambda c: c["id"] != F.col("idx")), 1, k)).alias("rank", "c"))
+    return others.select("idx", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("neighbour"), (-F.col("c.s")).alias("similarity"))
+
+
+_CELL = {"cell": "long", "role": "tinyint", "list": "int", "need": "float", "key": "binary", "ids": "array<long>", "x": "binary"}
+
+
+def _classes(vectors: DataFrame, k: int, dim: int, id_col: str, vector_col: str) -> DataFrame:
+    """Rows (key, idx, ids, x) of the valid vectors, written once: `key` is a hash of the vector, which exact copies share.
+
+    Of the copies within an Arrow batch one has `x` and the k + 1 smallest ids; the others have neither.
+    """
+    v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
+
+    def run(batches):
         for batch in batches:
-            ids, x = vector_block(batch.column(0), batch.column(1), dim)
-            yield pa.record_batch([pa.array(_nearest(unit_rows(x).astype(np.float32), centroids)[0]), pa.array(ids), fixed_binary(x.astype(np.float32))], names=["list", "idx", "x"])
-
-    # large lists are spread over tasks by the hash of the id; a list's rows are then read together in each task
-    stored = v.mapInArrow(placed, "list long, idx long, x binary").repartition(F.col("list"), F.pmod(F.xxhash64("idx"), F.lit(4))).sortWithinPartitions("list")
-    found = None
-    for i in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == i).toArrow()
-        ids, x = vector_block(block.column("idx"), block.column("x"), dim)
-        ids, first = np.unique(ids, return_index=True)
-        held = spark.sparkContext.broadcast((ids, x[first].astype(np.float32)))
-
-        def search(batches, held=held):
-            ask_ids, ask = held.value[0], unit_rows(held.value[1].astype(np.float64))
-            near = [np.argpartition(-(ask[s : s + 2048].astype(np.float32) @ centroids.T), visits - 1, axis=1)[:, :visits] for s in range(0, len(ask), 2048)]
-            near = np.concatenate(near) if near else np.empty((0, visits), dtype=np.int64)
-            order = np.argsort(near, axis=None, kind="stable")
-            who, ends = (order // visits).astype(np.int32), np.searchsorted(near.ravel()[order], np.arange(len(centroids) + 1))
-            best, best_id = np.full((len(ask), k), -2.0), np.full((len(ask), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                where, base_ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                base = unit_rows(from_binary(batch.column(2), "float32", dim).astype(np.float64))
-                for t in np.unique(where):
-                    mine, at = who[ends[t] : ends[t + 1]], np.flatnonzero(where == t)
-                    at = at[np.unique(base_ids[at], return_index=True)[1]]
-                    known = np.maximum(best[mine, -1], least)
-                    r, c, cos = scan(ask[mine], base[at], k, least, ask_ids[mine], base_ids[at], rotation, known)
-                    _merge(best, best_id, mine[r], base_ids[at][c], cos)
-            r, c = np.nonzero(best > -2)
-            yield pa.record_batch([pa.array(ask_ids[r]), pa.array(best_id[r, c]), pa.array(best[r, c])], names=["idx", "neighbour", "similarity"])
-
-        part = stored.mapInArrow(search, "idx long, neighbour long, similarity double")
-        found = part if found is None else found.unionByName(part)
-    found = found.repartition("idx").dropDuplicates(["idx", "neighbour"])
-    ranked = Window.partitionBy("idx").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("idx", "rank", "neighbour", "similarity")
+            idx, x = vector_block(batch.column(0), batch.column(1), dim)
+            x = np.ascontiguousarray(x, dtype=np.float32) + np.float32(0)  # no negative zeros
+            good = (x != 0).any(axis=1)
+            idx, x = idx[good], x[good]
+            key = np.array([xxhash.xxh3_128_digest(r.tobytes()) for r in x], dtype=object)
+            code, unique = pd.factorize(key)
+            order = np.lexsort((idx, code))
+            start = np.searchsorted(code[order], np.arange(len(unique)))
+            ids: list = [None] * len(idx)
+            for lo, hi in zip(start.tolist(), [*start.tolist()[1:], len(idx)]):
+                ids[order[lo]] = np.unique(idx[order[lo:hi]])[: k + 1].tolist()
+            lead = np.zeros(len(idx), bool)
+            lead[order[start]] = True
+            held = fixed_binary(x).take(pa.array(np.where(lead, np.arange(len(idx)), 0), mask=~lead)) if len(idx) else pa.array([], pa.binary())
+            yield pa.record_batch([pa.array(key.tolist(), pa.binary()), pa.array(idx), pa.array(ids, pa.list_(pa.int64())), held], names=["key", "idx", "ids", "x"])
+
+    return materialize(v.mapInArrow(run, "key binary, idx long, ids array<long>, x binary"), "vectors")
 
 
 def _merge(best: np.ndarray, best_id: np.ndarray, row: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> None:
