@@ -108,7 +108,7 @@ def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     docs, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
-    return mixing.mix_report(docs, targets, mixing.mix(docs, targets))
+    return mixing.mix_report(docs, targets)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
