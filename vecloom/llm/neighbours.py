@@ -27,7 +27,7 @@ MOST_LISTS = 4_096
 #: Rows aimed at in a list: where neighbours near each other are wanted only, and where all are.
 NEAR_LIST_ROWS, LIST_ROWS = 500, 100
 #: A cell compares at most about this many stored rows with as many asking rows, near and otherwise.
-NEAR_CELL_ROWS, CELL_ROWS = 2_000, 20_000
+NEAR_CELL_ROWS, CELL_ROWS = 4_000, 20_000
 COLUMNS = 16
 #: Of n lists, a query for neighbours at any distance visits VISITS * n ** GROWTH.
 VISITS, GROWTH = 1.6, 0.7
@@ -154,8 +154,9 @@ def nearest_neighbours(
     different ones, one asks and all are found); exact copies under other ids are neighbours. A query with fewer neighbours
     has fewer rows. Other columns are ignored.
 
-    All vectors are indexed. Centroids are fitted on the SAMPLE_ROWS rows with the smallest hash of the id. Exact copies are
-    stored and asked for once, with the k + 1 smallest of their ids, so that a hot vector costs what any other does.
+    All vectors are indexed. Centroids are fitted on the SAMPLE_ROWS rows with the smallest hash of the vector. Exact copies
+    within an Arrow batch are stored and asked for once, with the k + 1 smallest of their ids, so that of a hot vector a row
+    a batch takes part; all its ids take what that finds.
 
     With a `least` of NEAR or more a vector visits at most `probes` lists, of these only the ones whose border with its own
     list is within `margin`, and is stored in all of them, so that two vectors meet if they have any list in common. 0.17 is
@@ -165,15 +166,13 @@ def nearest_neighbours(
     grows with the lists to the power GROWTH). Lists beside each other share a cell, to which a query goes once.
 
     Both sides of a cell are cut into blocks, and every pair of blocks is a task's group of its own, so no group grows with
-    a list. Vectors and queries are written once to the shared folder, without copies; nothing but a count for each list
+    a list. Vectors and queries are written once to the shared folder; nothing but a count for each list
     comes to the driver.
     """
     near = least >= NEAR
     stored = _classes(vectors, k, dim, id_col, vector_col)
     asking = stored if queries is None else _classes(queries, k, dim, id_col, vector_col)
-    base, asks = (t.where("x IS NOT NULL").groupBy("key").agg(F.first("x").alias("x"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")) for t in (stored, asking))
-    base = materialize(base, "classes")
-    asks = base if queries is None else asks
+    base, asks = stored.where("x IS NOT NULL"), asking.where("x IS NOT NULL")
     n = base.count()
     sample = hash_sample(base.select("key", "x"), "key", SAMPLE_ROWS).toArrow()
     x = from_binary(sample.column("x"), "float32", dim).astype(np.float64)
@@ -269,8 +268,15 @@ def nearest_neighbours(
         role, to = table.column("role").to_numpy(), table.column("list").to_numpy()
         x = unit_rows(from_binary(table.column("x"), "float32", dim).astype(np.float64))
         b, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        first = table.column("ids").combine_chunks() if isinstance(table.column("ids"), pa.ChunkedArray) else table.column("ids")
-        rep = first.flatten().to_numpy()[first.offsets.to_numpy()[:-1] - first.offsets.to_numpy()[0]]
+        ids, keys = table.column("ids").to_pylist(), table.column("key").to_pylist()
+        held: dict[bytes, int] = {}  # copies from other batches are in the same cell: they become one row
+        for i in b.tolist():
+            at = held.setdefault(keys[i], i)
+            if at != i:
+                ids[at] = sorted({*ids[at], *ids[i]})[: k + 1]
+        b = np.array([*held.values()], dtype=np.int64)
+        q = np.array([*{keys[i]: i for i in q.tolist()}.values()], dtype=np.int64)
+        rep = np.array([i[0] for i in ids], dtype=np.int64)
         best, best_id = np.full((len(q), k + 1), -2.0), np.full((len(q), k + 1), np.iinfo(np.int64).max)
         at_rep = {}
         for t in np.unique(to[b]):
@@ -282,12 +288,20 @@ def nearest_neighbours(
             at_rep.update(zip(rep[mine[np.unique(c)]].tolist(), mine[np.unique(c)].tolist()))
             _merge(best, best_id, ask[r], rep[mine[c]], cos)
         r, c = np.nonzero(best > -2)
-        taken = pa.array([at_rep[i] for i in best_id[r, c].tolist()], pa.int64())
-        return pa.table({"key": table.column("key").take(pa.array(q[r])), "similarity": best[r, c], "ids": table.column("ids").take(taken)})
-
-    found = cells.groupBy("cell").applyInArrow(search, "key binary, similarity double, ids array<long>")
-    each = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("similarity")).alias("s"), i.alias("id")))))
-    best = found.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(each)), 1, k + 1).alias("best"))
+        taken = [ids[at_rep[i]] for i in best_id[r, c].tolist()]
+        many = np.array([len(i) for i in taken], dtype=np.int64)
+        row, sim, named = np.repeat(r, many), np.repeat(best[r, c], many), np.array([i for some in taken for i in some], dtype=np.int64)
+        order = np.lexsort((named, -sim, row))
+        row, sim, named = row[order], sim[order], named[order]
+        start = np.searchsorted(row, np.arange(len(q)))
+        top = np.arange(len(row)) - start[row] <= k
+        row, sim, named = row[top], sim[top], named[top]
+        some, begin = np.unique(row, return_index=True)
+        pairs = pa.StructArray.from_arrays([pa.array(-sim), pa.array(named.astype(np.int64))], names=["s", "id"])
+        return pa.table({"key": table.column("key").take(pa.array(q[some])), "best": pa.ListArray.from_arrays(pa.array(np.r_[begin, len(row)].astype(np.int32)), pairs)})
+
+    found = cells.groupBy("cell").applyInArrow(search, "key binary, best array<struct<s:double,id:bigint>>")
+    best = found.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
     who = asking.groupBy("idx").agg(F.min("key").alias("key"))
     others = who.join(best, "key").select("idx", F.posexplode(F.slice(F.filter("best", lambda c: c["id"] != F.col("idx")), 1, k)).alias("rank", "c"))
     return others.select("idx", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("neighbour"), (-F.col("c.s")).alias("similarity"))
