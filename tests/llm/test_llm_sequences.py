@@ -97,6 +97,20 @@ def plain_groups(rows):
     return groups
 
 
+def test_long_common_letters_need_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(formatdup, "BUCKET_ROWS", 50)
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice(AA) for _ in range(n))
+    common = make(120)
+    rows = [(i, "x 1", common + make(30)) for i in range(1500)] + [(2000 + i, "1-X", common) for i in range(3)]
+    rows += [(3000 + i, "X1" if i % 2 else "1,x", rows[i][2].lower()) for i in range(40)]
+    spark.sparkContext.setJobGroup("levels", "levels")
+    found = {tuple(r) for r in formatdup.format_duplicates(frame(spark, rows)).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {(min(g), p) for g in plain_groups(rows).values() for p in g if p != min(g)}
+    assert found == want and len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels")) < 40
+
+
 @pytest.mark.parametrize("bucket", [20_000, 3])
 def test_format_duplicates(spark, monkeypatch, bucket):
     monkeypatch.setattr(formatdup, "BUCKET_ROWS", bucket)

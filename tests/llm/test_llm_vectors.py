@@ -231,3 +231,24 @@ def test_nearest_is_the_distance_within_the_subset(spark):
     assert all(r["nearest"] == pytest.approx(2**0.5, abs=1e-6) for r in rows)
     one = diverse.varied_subset(frame(spark, [(1, x[0].tolist())]), 3, dim=DIM).select(F.col("nearest")).first()
     assert one[0] is None
+
+
+def test_large_subset_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(diverse, "CELL_SIZE", 4)
+    monkeypatch.setattr(diverse, "MERGE_ROWS", 24)
+    x = planted(n_groups=12, size=10)
+    labels = spark.createDataFrame([(i, f"g{i % 12}") for i in range(60)], "idx long, label string")
+    rows = diverse.varied_subset(frame(spark, rows_of(x)), 20, labels, dim=DIM).collect()
+    named = [r["label"] for r in rows if r["label"]]
+    assert len({r["idx"] for r in rows}) == len(rows) == 20 and len(named) == len(set(named))
+    assert diverse.varied_subset(frame(spark, rows_of(x)), 500, dim=DIM).count() == len(x) - 1
+    assert diverse.varied_subset(frame(spark, []), 50, dim=DIM).count() == 0
+
+
+def test_coverage(spark):
+    x = planted()
+    s = cosines(x)
+    got = {r["idx"]: r for r in diverse.coverage(frame(spark, rows_of(x)), spark.createDataFrame([(3,), (40,), (99,), (40,), (None,)], "idx long"), DIM).collect()}
+    assert sorted(got) == list(range(len(x))) and got[40]["representative"] == 40
+    assert all(s[i, r["representative"]] == max(s[i, j] for j in (3, 40, 99)) and r["distance"] == pytest.approx(np.sqrt(max(0, 2 - 2 * s[i, r["representative"]])), abs=2e-3) for i, r in got.items())
+    assert diverse.coverage(frame(spark, rows_of(x)), spark.createDataFrame([], "idx long"), DIM).count() == 0

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import mix64
 from vecloom.functions.sampling import hash_sample
+from vecloom.session import materialize
 
 #: Bits of the feature hash, words of a window, and how far apart the words of a skip-gram may be.
 BITS = 22
@@ -313,7 +314,7 @@ def fit(
     first = models(split, 1, None)
     h, n = F.xxhash64(F.col(id_col)), documents.count()
     some = documents if n <= mined_docs else documents.where(h < -(1 << 63) + int((1 << 64) * (mined_docs / n)))
-    sure = score_documents(some, first, MINED, id_col, doc_col).where("flagged").select("passage")
+    sure = materialize(score_documents(some, first, MINED, id_col, doc_col).where("flagged").select("passage"), "mined")
     speller = Speller(score)
     mined = [([speller.word(w) for w in r["passage"].split(" ")], 1) for r in hash_sample(sure, "passage", most_examples).orderBy("passage").collect()]
     return models(split + mined, MODELS, first)

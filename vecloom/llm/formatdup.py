@@ -1,20 +1,24 @@
 """Records that differ by formatting only, collapsed and counted.
 
 A record's canonical bytes are its letters and the sorted parts of its id. Records are partitioned by the leading bytes;
-a bucket that is too large is split by further bytes until each fits, and each bucket is counted in a trie whose
+a bucket that is too large is split by the bytes after what its values have in common until each fits, and each bucket is counted in a trie whose
 terminal counters hold the smallest id and the number of copies.
 """
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.session import materialize
 
-#: Rows that a bucket may hold, and bytes by which each level of the partitioning looks further.
+#: Different values that a bucket may hold, at the least; buckets that may be larger, at the most, whatever the number of
+#: records; and bytes by which each level of the partitioning looks further than what all values of a bucket have in common.
 BUCKET_ROWS = 20_000
+MOST_BUCKETS = 50_000
 STEP = 2
 #: Bytes of a trie's edge.
 EDGE = 24
@@ -99,31 +103,32 @@ def format_duplicates(records: DataFrame, id_col: str = "seq_pos", name_col: str
     combined = materialize(rows.mapInArrow(combine, "key binary, pos long, local long"), "canonical")
     leads = combined.where("key IS NOT NULL").select("key", "pos")
 
-    # oversized prefixes, level by level; at most rows / BUCKET_ROWS of them on each level
-    oversized: set[bytes] = set()
-    depth, last = STEP, leads
+    # where to look further in an oversized bucket; at most MOST_BUCKETS of them on each level
+    room = max(BUCKET_ROWS, leads.count() // MOST_BUCKETS)
+    depths: dict[bytes, int] = {}
+    last: set[bytes] | None = None
     while True:
-        counts = last.groupBy(F.substring("key", 1, depth).alias("p")).agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest"))
-        large = counts.where((F.col("n") > BUCKET_ROWS) & (F.col("longest") > depth)).select("p").collect()
+
+        def bucketed(batches, depths=depths, last=last):
+            for batch in batches:
+                keys, pos = batch.column("key").to_pylist(), batch.column("pos").to_pylist()
+                buckets, inside = [], []
+                for i, key in enumerate(keys):
+                    bucket, within = key[:STEP], last is None
+                    while bucket in depths and len(bucket) < len(key):
+                        within = within or bucket in last
+                        bucket = key[: depths[bucket]]
+                    buckets.append(bucket)
+                    inside.append(within)
+                yield pa.record_batch([pa.array(buckets, pa.binary()), pa.array(keys, pa.binary()), pa.array(pos, pa.int64()), pa.array(inside)], names=["bucket", "key", "pos", "inside"])
+
+        spread = leads.mapInArrow(bucketed, "bucket binary, key binary, pos long, inside boolean")
+        sizes = spread.where("inside").groupBy("bucket").agg(F.approx_count_distinct("key").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        large = sizes.where((F.col("n") > room) & (F.col("low") < F.col("high"))).collect()
         if not large:
             break
-        here = {bytes(r["p"]) for r in large}
-        oversized |= here
-        spark, d = records.sparkSession, depth
-        last = leads.join(spark.createDataFrame([(bytearray(p),) for p in here], "p binary"), F.substring("key", 1, d) == F.col("p"), "left_semi")
-        depth += STEP
-    known = frozenset(oversized)
-
-    def bucketed(batches):
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            buckets = []
-            for key in keys:
-                d = STEP
-                while key[:d] in known:
-                    d += STEP
-                buckets.append(key[:d])
-            yield pa.record_batch([pa.array(buckets, pa.binary()), batch.column("key"), batch.column("pos")], names=["bucket", "key", "pos"])
+        depths = {**depths, **{bytes(r["bucket"]): len(os.path.commonprefix([bytes(r["low"]), bytes(r["high"])])) + STEP for r in large}}
+        last = {bytes(r["bucket"]) for r in large}
 
     def count(batches):
         bucket, trie, ends = None, Trie(), []
@@ -140,8 +145,8 @@ def format_duplicates(records: DataFrame, id_col: str = "seq_pos", name_col: str
         if ends:
             yield _firsts(ends)
 
-    spread = leads.mapInArrow(bucketed, "bucket binary, key binary, pos long").repartition("bucket").sortWithinPartitions("bucket")
-    firsts = materialize(spread.mapInArrow(count, "pos long, first long"), "firsts")
+    placed = spread.select("bucket", "key", "pos").repartition("bucket").sortWithinPartitions("bucket")
+    firsts = materialize(placed.mapInArrow(count, "pos long, first long"), "firsts")
     moved = firsts.where("first <> pos").groupBy("pos").agg(F.min("first").alias("first"))
     local = combined.where("key IS NULL").select("pos", F.col("local"))
     linked = local.join(moved.withColumnRenamed("pos", "local"), "local", "left").select(F.coalesce("first", "local").alias("first"), "pos")

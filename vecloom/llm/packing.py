@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from vecloom.session import materialize
 
 #: Items that a task packs together.
-TASK_ITEMS = 50_000
+TASK_ITEMS = 20_000
 #: A container filled to this share is not opened again.
 FULL = 0.99
-ROUNDS = 4
 
 
 def byte_tokens(text):
@@ -50,8 +49,8 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
 
     Tasks pack TASK_ITEMS items at a time. Containers filled to FULL are done; the others go on as items of the next
     round, dealt out anew by size so that every task gets a mixture, in ever fewer tasks. A container that not even the
-    smallest one left would fit is done too. After ROUNDS rounds, or when one task packed all that was left, the rest is
-    emitted as it is, so no task ever holds more than TASK_ITEMS items at once.
+    smallest one left would fit is done too. When one task has packed all that was left, the rest is emitted as it is; a
+    task takes TASK_ITEMS items at a time, so none ever holds more. Items are written once to the shared folder.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -59,6 +58,7 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     one = items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size")).where("id IS NOT NULL AND size >= 1").distinct()
     cut = one.withColumn("piece", F.explode(F.expr(f"sequence(0, cast((size - 1) div {capacity} as int))")))
     piece = cut.select("id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity), F.col("size") - F.col("piece").cast("long") * capacity).alias("size"))
+    piece = materialize(piece, "pieces")
     whole = piece.where(F.col("size") == capacity)
     name = F.concat_ws(".", "id", "piece")
     done = [whole.select(name.alias("bin"), "id", "piece", "start", "size")]
@@ -84,20 +84,20 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
         return pa.record_batch([pa.array(used, pa.int64()), pa.array([[x for i in b for x in parts[i]] for b in bins], types), pa.array([u >= FULL * capacity for u in used])], names=["used", "held", "full"])
 
     left = piece.where(F.col("size") < capacity).select(F.col("size").alias("used"), F.array(F.struct("id", "piece", "start", "size")).alias("held"))
-    tasks = None
-    for turn in range(ROUNDS):
+    tasks = max(1, math.ceil(left.count() / TASK_ITEMS))
+    left = left.repartition(tasks, F.xxhash64(F.col("held")[0]["id"], F.col("held")[0]["piece"]))
+    while True:
         state = materialize(left.mapInArrow(round_of, schema), "bins")
         n, least = state.where("NOT full").agg(F.count("*"), F.min("used")).first()
         least = capacity if least is None else least
         over = F.col("full") | (F.col("used") + least > capacity)
         open_bins = state.where(~over)
         n = open_bins.count()
-        if not n or tasks == 1 or turn == ROUNDS - 1:
+        if not n or tasks == 1:
             done.append(_opened(state))
             break
         done.append(_opened(state.where(over)))
-        most = math.ceil(n / TASK_ITEMS)
-        tasks = most if tasks is None else max(1, min(tasks // 2, most))
+        tasks = max(1, min(tasks // 2, math.ceil(n / TASK_ITEMS)))
         left = open_bins.select("used", "held").repartition(tasks, F.xxhash64(F.col("held")[0]["id"], F.col("held")[0]["piece"]))
     out = done[0]
     for d in done[1:]:

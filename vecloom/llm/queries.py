@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import abuse, clusters, diverse, formatdup, mixing, neardup, neighbours, packing, splitting
+from vecloom.session import materialize
 
 
 _MODELS: dict[tuple[str, str], abuse.Model] = {}
@@ -79,14 +80,25 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return formatdup.collapse_format_duplicates(table(spark, sf, "sequences")).withColumnRenamed("id", "seq_pos")
 
 
-def p6_subset(spark: SparkSession, sf: str) -> DataFrame:
+def _subset(spark: SparkSession, sf: str) -> DataFrame:
     """A varied subset; the labels of earlier runs are local to their run, and a run belongs to one vector database."""
     p, v = params(spark, sf), table(spark, sf, "vectors")
     runs = table(spark, sf, "cluster_runs").select("run_id", "db_name")
     labels = table(spark, sf, "clusters").join(runs, "run_id").select(F.col("member_id").alias("id"), "db_name", F.concat_ws(":", F.col("run_id"), F.col("cluster_id")).alias("label"), "cluster_id")
     labels = v.select("idx", "id", "db_name").join(labels.where("cluster_id IS NOT NULL AND id IS NOT NULL"), ["id", "db_name"]).select("idx", "label")
-    chosen = diverse.varied_subset(v, int(p["subset_size"]), labels, dim=int(p["vector_dim"]))
-    return chosen.join(v.select("idx", "id").dropDuplicates(["idx"]), "idx").select("idx", "id", "label", "nearest")
+    return diverse.varied_subset(v, int(p["subset_size"]), labels, dim=int(p["vector_dim"]))
+
+
+def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector with the member of the subset that stands for it, and how far that is."""
+    p, v = params(spark, sf), table(spark, sf, "vectors")
+    chosen = materialize(_subset(spark, sf), "subset")
+    return diverse.coverage(v, chosen, int(p["vector_dim"]))
+
+
+def p6_subset(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "vectors")
+    return _subset(spark, sf).join(v.select("idx", "id").dropDuplicates(["idx"]), "idx").select("idx", "id", "label", "nearest")
 
 
 def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p6_coverage": p6_coverage,
     "p6_subset": p6_subset,
     "p7_found": p7_found,
     "p7_packed": p7_packed,
