@@ -52,6 +52,38 @@ def test_linked_members(spark, monkeypatch, blocks):
     assert found == {i: c for i, c in enumerate(want) if (want == c).sum() > 1}
 
 
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_dense_and_chained_groups_in_oversized_buckets(spark, monkeypatch, pivots):
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 15)
+    monkeypatch.setattr(clusters, "PIVOTS", pivots)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(DIM)
+    dense = base + 0.05 * rng.standard_normal((150, DIM))
+    angle = np.deg2rad(np.arange(0, 300, 20))
+    chain = np.zeros((len(angle), DIM))
+    chain[:, 3], chain[:, 4] = np.cos(angle), np.sin(angle)
+    x = np.concatenate([planted(), dense, chain, np.repeat(dense[:1], 40, axis=0)]).astype(np.float32)
+    want = components(x)
+    found = {r["idx"]: r["component"] for r in clusters.linked_members(frame(spark, rows_of(x)), 0.9, DIM).collect()}
+    assert found == {i: c for i, c in enumerate(want) if (want == c).sum() > 1}
+
+
+def test_equalish_vectors_are_one_cluster(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal(DIM) + 0.04 * rng.standard_normal((6000, DIM))).astype(np.float32)
+    rows = clusters.describe_clusters(clusters.similarity_clusters(frame(spark, list(enumerate(x.tolist()))), 0.9, DIM)).collect()
+    assert [r["size"] for r in rows] == [6000]
+
+
+def test_compare_runs(spark):
+    now = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)], "idx long, cluster_id long")
+    v = spark.createDataFrame([(i, f"v{i}", "d") for i in range(1, 6)] + [(1, "v1", "d"), (6, None, "d")], "idx long, id string, db_name string")
+    labels = spark.createDataFrame([(7, "v1", 0), (7, "v2", 0), (7, "v3", 0), (7, "v4", 1), (7, "v5", None), (7, None, 1), (7, "gone", 1), (7, "v1", 0)], "run_id long, member_id string, cluster_id long")
+    runs = spark.createDataFrame([(7, "d", 9), (8, "d", None)], "run_id long, db_name string, n_clusters long")
+    got = sorted(tuple(r) for r in clusters.compare_runs(now, v, labels, runs).select("run_id", "reported", "labels", "found", "members", "agreeing").collect())
+    assert got == [(7, 9, 2, 2, 4, 3), (8, None, 0, 0, 0, 0)]
+
+
 def test_plan_needs_more_minima_for_more_rows():
     plans = [clusters.band_plan(n, 0.9, 64) for n in (10_000, 2_000_000, 10**9)]
     assert plans[0][:2] == (1, 0) and plans[1][0] == 1 and plans[1][1] > 0 and plans[2][0] > 1

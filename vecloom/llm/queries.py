@@ -34,6 +34,13 @@ def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.describe_clusters(clusters.similarity_clusters(table(spark, sf, "vectors"), p["cluster_min_cosine"], int(p["vector_dim"])))
 
 
+def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The clusters beside the labels and n_clusters of earlier runs."""
+    p, v = params(spark, sf), table(spark, sf, "vectors")
+    now = materialize(clusters.similarity_clusters(v, p["cluster_min_cosine"], int(p["vector_dim"])), "clusters")
+    return clusters.compare_runs(now, v, table(spark, sf, "clusters"), table(spark, sf, "cluster_runs"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     p = params(spark, sf)
     pairs, members = neardup.near_duplicate_pairs(table(spark, sf, "sequences"), p["near_dup_min_similarity"], int(p["near_dup_word_length"]))
@@ -151,6 +158,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
+    "p1_runs": p1_runs,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
