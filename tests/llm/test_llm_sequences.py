@@ -57,6 +57,29 @@ def test_pairs(spark, monkeypatch, seed, threshold, common):
     assert found == truth(rows, threshold)
 
 
+@pytest.mark.parametrize(("alphabet", "length"), [("ACGT", 1500), ("ACGT", 2500), ("ACGT", 5000), ("ABCDE", 9000)])
+def test_few_letters(spark, alphabet, length):
+    rng = random.Random(4)
+    rows = [(i, "x", "".join(rng.choices(alphabet, k=length))) for i in range(60)]
+    pairs, _ = neardup.near_duplicate_pairs(frame(spark, rows), 0.5, 5)
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    want = truth(rows, 0.5)
+    assert found == want and len(want) == 1770
+
+
+@pytest.mark.parametrize("hot", [1, 7])
+def test_hot_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT_ROWS", hot)
+    rows = corpus(4)
+    pairs, members = neardup.near_duplicate_pairs(frame(spark, rows), 0.5, 5)
+    assert {tuple(r) for r in neardup.record_pairs(pairs, members).collect()} == truth(rows, 0.5)
+
+
+@given(st.lists(st.text("ABCXYZ", max_size=20).map(str.encode), max_size=8))
+def test_packed_letters(letters):
+    assert neardup.unpack_letters(neardup.pack_letters(letters).to_pylist()) == letters
+
+
 def test_groups(spark):
     rows = corpus(3)
     got = {r["id"]: r for r in neardup.near_duplicate_groups(frame(spark, rows), 0.5, 5).collect()}
