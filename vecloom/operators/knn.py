@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrow import fixed_binary, from_binary
+from vecloom.functions.arrow import fixed_binary, from_binary, mix64
 
 METRICS = ("cosine", "euclidean")
 #: A side of at most this many bytes is sent to every task; beyond it both sides are cut into blocks of BLOCK_ROWS.
@@ -132,7 +132,7 @@ def knn_join(
             def run(batches):
                 for batch in batches:
                     ids, x = finite(batch.column(0), batch.column(1))
-                    mine = ids % own
+                    mine = (mix64(ids) % np.uint64(own)).astype(np.int64)
                     for j in range(other):
                         cell = mine * other + j if sign else j * own + mine
                         yield pa.record_batch([pa.array(cell), pa.array(np.full(len(ids), sign)), pa.array(ids), fixed_binary(x)], names=["cell", "base", "id", "x"])

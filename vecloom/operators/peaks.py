@@ -72,15 +72,28 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
 
 def prominences(x: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(prominence, left base, right base): the drop to the higher of the two lowest points before the series rises above the peak."""
-    out = np.empty(len(peaks)), np.empty(len(peaks), dtype=np.int64), np.empty(len(peaks), dtype=np.int64)
-    for k, p in enumerate(peaks):
-        higher = np.flatnonzero(x > x[p])
-        before, after = higher[higher < p], higher[higher > p]
-        lo, hi = (before[-1] + 1 if len(before) else 0), (after[0] if len(after) else len(x))
-        side_l, side_r = x[lo : p + 1], x[p:hi]
-        out[1][k] = p - int(np.argmin(side_l[::-1]))  # the lowest point nearest to the peak
-        out[2][k] = p + int(np.argmin(side_r))
-        out[0][k] = x[p] - max(side_l.min(), side_r.min())
+    left, right = _bases(x, peaks), len(x) - 1 - _bases(x[::-1], len(x) - 1 - np.asarray(peaks, dtype=np.int64)[::-1])[::-1]
+    return x[peaks] - np.maximum(x[left], x[right]), left, right
+
+
+def _bases(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """For peaks in order, the place of the lowest point, the one nearest to the peak, between it and the next higher point to its left.
+
+    One walk with a stack of ever lower points, each with the lowest place since the point before it on the stack.
+    """
+    out, stack = np.empty(len(peaks), dtype=np.int64), []
+    wanted = iter([*peaks, -1])
+    done, next_peak = 0, next(wanted)
+    for i, v in enumerate(x.tolist()):
+        low_value, low = v, i
+        while stack and stack[-1][0] <= v:
+            _, value, at = stack.pop()
+            if value < low_value:
+                low_value, low = value, at
+        stack.append((v, low_value, low))
+        if i == next_peak:
+            out[done] = low
+            done, next_peak = done + 1, next(wanted)
     return out
 
 
@@ -90,9 +103,11 @@ def find_peaks(x: np.ndarray, prominence: float, distance: int) -> np.ndarray:
     keep = np.ones(len(peaks), bool)
     for j in np.argsort(x[peaks], kind="stable")[::-1]:
         if keep[j]:
-            near = np.abs(peaks - peaks[j]) < distance
-            near[j] = False
-            keep &= ~near
+            for step in (-1, 1):
+                i = j + step
+                while 0 <= i < len(peaks) and abs(peaks[i] - peaks[j]) < distance:
+                    keep[i] = False
+                    i += step
     peaks = peaks[keep]
     return peaks[prominences(x, peaks)[0] >= prominence]
 
@@ -103,11 +118,13 @@ def peak_widths(x: np.ndarray, peaks: np.ndarray, rel_height: float) -> tuple[np
     left, right = np.empty(len(peaks)), np.empty(len(peaks))
     for k, p in enumerate(peaks):
         height = x[p] - prom[k] * rel_height
-        below = np.flatnonzero(x[base_l[k] + 1 : p + 1] <= height)
-        i = base_l[k] + 1 + below[-1] if len(below) else base_l[k]
+        i = p
+        while i > base_l[k] and x[i] > height:
+            i -= 1
         left[k] = i + (height - x[i]) / (x[i + 1] - x[i]) if x[i] < height else i
-        below = np.flatnonzero(x[p : base_r[k]] <= height)
-        i = p + below[0] if len(below) else base_r[k]
+        i = p
+        while i < base_r[k] and x[i] > height:
+            i += 1
         right[k] = i - (height - x[i]) / (x[i - 1] - x[i]) if x[i] < height else i
     return left, right
 

@@ -139,11 +139,24 @@ def mean_similarity(members: DataFrame, cluster: str = "cluster_id", vector_col:
 
 
 def centroids(members: DataFrame, cluster: str = "cluster_id", vector_col: str = "embedding") -> DataFrame:
-    """(cluster_id, centroid): the mean of the unit vectors, scaled to length 1. Sums are combined before the shuffle."""
-    m = members.select(F.col(cluster).cast("long").alias("cluster_id"), F.posexplode(normalize(vector_col)).alias("pos", "v")).where("cluster_id IS NOT NULL")
-    mean = m.groupBy("cluster_id", "pos").agg(F.avg("v").alias("v"))
-    rows = mean.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("mean"))
-    return rows.select("cluster_id", normalize("mean").alias("centroid"))
+    """(cluster_id, centroid): the mean of the unit vectors, scaled to length 1. A batch sends one sum a cluster."""
+    m = members.select(F.col(cluster).cast("long").alias("cluster_id"), F.col(vector_col).alias("x")).where("cluster_id IS NOT NULL AND x IS NOT NULL")
+
+    def partial(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _unit(_matrix(batch.column(1)))
+                ids, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                s = np.zeros((len(ids), x.shape[1]))
+                np.add.at(s, at, x)
+                yield pa.record_batch([pa.array(ids.astype(np.int64)), fixed_binary(s)], names=["cluster_id", "s"])
+
+    def total(table: pa.Table) -> pa.Table:
+        width = len(table.column("s")[0].as_py()) // 8
+        mean = _unit(from_binary(table.column("s"), "float64", width).sum(axis=0, keepdims=True))
+        return pa.table({"cluster_id": table.column("cluster_id").slice(0, 1), "centroid": pa.array(mean.tolist(), pa.list_(pa.float64()))})
+
+    return m.mapInArrow(partial, "cluster_id long, s binary").groupBy("cluster_id").applyInArrow(total, "cluster_id long, centroid array<double>")
 
 
 def representatives(members: DataFrame, cluster: str = "cluster_id", id_col: str = "idx", vector_col: str = "embedding") -> DataFrame:
@@ -163,8 +176,16 @@ def cluster_sizes(labels: DataFrame, cluster: str = "cluster_id") -> DataFrame:
 
 
 def cohesion_summary(stats: DataFrame) -> DataFrame:
-    """One row of totals over clusters; each similarity is weighted by its own cluster's size. No clusters give nulls and zeros."""
+    """One row of totals over clusters; each similarity is weighted by its own cluster's size. No clusters give nulls and zeros.
+
+    Where `stats` has sequence identities too, their totals follow.
+    """
     d = F.col("mean_similarity")
+    identity = []
+    if "mean_seq_identity" in stats.columns:
+        i = F.col("mean_seq_identity")
+        identity = [F.round(F.sum(F.when(i.isNotNull(), i * F.col("size"))) / F.sum(F.when(i.isNotNull(), F.col("size"))), 6).alias("weighted_mean_seq_identity")]
+        identity += [F.round(f(c), 6).alias(f"{n}_{c}") for c in ("mean_seq_identity", "min_seq_identity") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))]
     return stats.agg(
         F.count("*").alias("n_clusters"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("total_members"),
@@ -172,6 +193,7 @@ def cohesion_summary(stats: DataFrame) -> DataFrame:
         F.round(F.median("size"), 6).alias("median_size"),
         F.round(F.sum(F.when(d.isNotNull(), d * F.col("size"))) / F.sum(F.when(d.isNotNull(), F.col("size"))), 6).alias("weighted_mean_similarity"),
         *[F.round(f(c), 6).alias(f"{n}_{c}") for c in ("mean_similarity", "min_similarity", "radius") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))],
+        *identity,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.functions.numbering import in_file_order
 from vecloom.operators import align, community, contig, graph, knn, peaks, stats
 from vecloom.session import materialize
 from vecloom.sources import fasta
@@ -18,7 +19,7 @@ def cluster_db(
     if method not in ("leiden", "mst"):
         raise ValueError(f"Unknown method: {method}")
     v = db.vectors.select("idx", "id", "description", "embedding")
-    near = knn.knn_self(v, k, "cosine", "idx")
+    near = db.neighbours(k) if db.metric == "cosine" else knn.knn_self(v, k, "cosine", "idx")
     edges = materialize(knn.knn_edges(near, dist_threshold), "edges")
     if method == "leiden":
         found = community.leiden_communities(edges, v, resolution, "idx")
@@ -37,7 +38,7 @@ def cluster_db(
     table = table.select("cluster_id", "representative_id", "size", *[c for c in table.columns if c not in ("cluster_id", "representative_id", "size")])
     clusters = members.join(reps, "cluster_id").select("representative_id", F.col("id").alias("member_id"), "cluster_id").orderBy("cluster_id", "member_id")
     mod = graph.modularity(edges, labels.withColumnRenamed("idx", "id"), "src", "dst").first()[0] if method == "leiden" else None
-    parts = {"method": method, "k": k, "dist_threshold": dist_threshold, "resolution": resolution if method == "leiden" else None, "mst_cut_threshold": mst_cut_threshold if method == "mst" else None, "min_cluster_size": min_cluster_size}
+    parts = {"db_path": db.base, "n_samples": db.ntotal, "method": method, "k": k, "dist_threshold": dist_threshold, "resolution": resolution if method == "leiden" else None, "mst_cut_threshold": mst_cut_threshold if method == "mst" else None, "min_cluster_size": min_cluster_size}
     one = stats.cohesion_summary(cohesion)
     if mod is not None:
         one = one.withColumn("modularity", F.lit(mod))
@@ -76,13 +77,29 @@ def cluster_items(items: DataFrame, output: str | None = None, k: int = 5, sim_t
     return out
 
 
-def read_items(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """(key, row_idx, embedding) of the matrices in a folder's Parquet files; a file's stem is its key, and row_idx its column or else the row's place."""
+def read_items(spark: SparkSession, folder: str, pattern: str = "*.parquet", matrix_key: str = "embedding") -> DataFrame:
+    """(key, row_idx, embedding) of the matrices in a folder's Parquet files; a file's stem is its key, and row_idx its column or else the row's place.
+
+    A missing folder, no file that matches and a missing column are errors.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        raise FileNotFoundError(f"no folder {folder}")
+    if not files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, pattern)):
+        raise FileNotFoundError(f"nothing in {folder} matches {pattern}")
     df = spark.read.option("pathGlobFilter", pattern).parquet(folder)
-    df = df.withColumn("key", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1))
-    if "embedding" not in df.columns:
-        raise KeyError(f"no column embedding; available: {', '.join(df.columns)}")
-    return df.select("key", F.col("row_idx") if "row_idx" in df.columns else F.monotonically_increasing_id().alias("row_idx"), "embedding")
+    if matrix_key not in df.columns:
+        raise KeyError(f"no column {matrix_key}; available: {', '.join(df.columns)}")
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]+)?$", 1)
+    if "row_idx" in df.columns:
+        return df.select(key.alias("key"), "row_idx", F.col(matrix_key).alias("embedding"))
+    return in_file_order(df.select(key.alias("key"), F.col(matrix_key).alias("embedding")), "row_idx").select("key", "row_idx", "embedding")
+
+
+def cluster_contigs(spark: SparkSession, input_dir: str, output: str | None = None, pattern: str = "*.parquet", matrix_key: str = "embedding", k: int = 5, sim_threshold: float = 0.85, resolution: float = 10.0) -> dict[str, DataFrame]:
+    """cluster_items() of the matrices in a folder, one file an item; see read_items()."""
+    return cluster_items(read_items(spark, input_dir, pattern, matrix_key), output, k, sim_threshold, resolution)
 
 
 def find_peaks_in_file(spark: SparkSession, path: str, score_col: str, output: str | None = None, finder: peaks.PeakFinder | None = None) -> tuple[DataFrame, DataFrame]:

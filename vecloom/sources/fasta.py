@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.functions.numbering import in_file_order
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (seq_pos, id, description, sequence) in file order.
+    """Rows (seq_pos, id, description, sequence); seq_pos counts in the order of the file, or of a folder's files by name.
 
     `id` is the first word of the header, `description` the whole header line; white space in the sequence is removed.
     Records are split by the reader at the line that starts with ">", so a large file is read in parallel; text before the
     first ">" is ignored, and an empty file gives no rows.
     """
-    rows = spark.read.text(path, lineSep="\n>").withColumn("seq_pos", F.monotonically_increasing_id())
+    rows = in_file_order(spark.read.text(path, lineSep="\n>"), "seq_pos")
     text = F.regexp_replace("value", r"\r", "")
     record = F.when(text.startswith(">"), F.substring(text, 2, 2_000_000_000)).otherwise(text)
-    rows = rows.withColumn("record", record).where((F.col("seq_pos") > 0) | text.startswith(">"))
+    rows = rows.withColumn("record", record).where((F.col("seq_pos") > 0) | text.startswith(">")).where(F.trim("record") != "")
     parts = F.split("record", "\n", 2)
     header = F.trim(parts[0])
     return rows.select(
@@ -69,7 +71,7 @@ def read_scores(spark: SparkSession, path: str, score_col: str, series: str = "f
     df = spark.read.option("header", True).option("inferSchema", True).option("sep", "\t" if path.rstrip("/").endswith(".tsv") else ",").csv(path)
     if score_col not in df.columns:
         raise ValueError(f"column {score_col} not found; available: {', '.join(df.columns)}")
-    return df.withColumn("series", F.lit(series)).withColumn("pos", F.monotonically_increasing_id())
+    return in_file_order(df, "pos").withColumn("series", F.lit(series))
 
 
 def last_sequences(sequences: DataFrame, id_col: str = "id", text_col: str = "sequence", order: str = "seq_pos") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.operators.embed import EmbedderConfig, embed
-from vecloom.operators.knn import check_metric, knn_join, nearest, with_metadata
+from vecloom.operators.knn import check_metric, knn_join, knn_self, nearest, with_metadata
 from vecloom.session import materialize
 from vecloom.sources.fasta import last_sequences, read_fasta, write_fasta
 
@@ -20,7 +20,7 @@ class VectorDB:
     """
 
     def __init__(self, spark: SparkSession, base: str, metric: str | None = None) -> None:
-        self.spark, self.base = spark, base.rstrip("/")
+        self.spark, self.base, self._near = spark, base.rstrip("/"), None
         text = [r[0] for r in spark.read.text(f"{self.base}/meta.json").collect()]
         self.meta = json.loads("".join(text))
         if metric is not None and metric != self.meta["metric"]:
@@ -61,6 +61,18 @@ class VectorDB:
         hits = knn_join(queries, self.vectors, k, self.metric, query_id, "idx", vector_col, "embedding", self.dim)
         return with_metadata(hits, self.vectors, "idx").select("query_id", "rank", "id", "description", "distance")
 
+    def search_sequence(self, sequence: str, k: int = 10, embedder=None) -> DataFrame:
+        """(query_id, rank, id, description, distance) of the k best vectors for one sequence, embedded with the database's own configuration."""
+        one = self.spark.createDataFrame([(0, "query_0", "", sequence)], "seq_pos long, id string, description string, sequence string")
+        q = embed(one, self.meta.get("embedder_config"), embedder).withColumnRenamed("seq_pos", "idx")
+        return self.search(q, k)
+
+    def neighbours(self, k: int = 30) -> DataFrame:
+        """knn_self() of the database. The result for the largest k so far is written once; a smaller k is cut from it."""
+        if self._near is None or self._near[0] < k:
+            self._near = (k, materialize(knn_self(self.vectors, k, self.metric, "idx"), "near"))
+        return self._near[1].where(F.col("rank") <= k)
+
     def add(self, more: DataFrame) -> VectorDB:
         """Appends rows (id, description, embedding); nothing is deduplicated. No rows change nothing."""
         wrong = more.where(F.size("embedding") != self.dim).limit(1).count()
