@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import fixed_binary, from_binary
-from vecloom.operators.knn import knn_join
 
 #: Rows of a block; every pair of blocks is compared.
 BLOCK_ROWS = 4_000
+#: The same, where all pairs are the result.
+PAIR_ROWS = 1_000
 
 
 def _unit(x: np.ndarray, eps: float) -> np.ndarray:
@@ -79,10 +80,29 @@ def all_pairs_similarity(items: DataFrame, key: str = "key", row: str = "row_idx
 
 
 def pairwise_cosine(a: DataFrame, b: DataFrame, eps: float = 1e-12, id_col: str = "idx", vector_col: str = "embedding") -> DataFrame:
-    """(i, j, sim) of all pairs of rows of two sets, in long form. `b` is taken in blocks that are sent to the tasks."""
-    n = max(1, b.count())
-    near = knn_join(a, b, n, "cosine", id_col, id_col, vector_col, vector_col)
-    return near.select(F.col("query_id").alias("i"), F.col("id").alias("j"), F.col("distance").alias("sim"))
+    """(i, j, sim) of all pairs of rows of two sets, in long form, rounded to 9 decimals; a zero vector has similarity 0.
+
+    Both sides are cut into blocks by a hash of the id, and every pair of blocks is a group. Null ids and vectors are left out.
+    """
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where("id IS NOT NULL AND x IS NOT NULL")
+        return v.withColumn("side", F.lit(side))
+
+    va, vb = dealt(a, 0), dealt(b, 1)
+    na, nb = (max(1, math.ceil(v.count() / PAIR_ROWS)) for v in (va, vb))
+    left = va.select("side", "id", "x", F.pmod(F.xxhash64("id"), F.lit(na)).alias("bi"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("bj"))
+    right = vb.select("side", "id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(na - 1).cast("long"))).alias("bi"), F.pmod(F.xxhash64("id"), F.lit(nb)).alias("bj"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        x = np.asarray(table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), -1)
+        x = x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + eps)
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sim = np.round(x[p] @ x[q].T, 9) + 0.0
+        return pa.table({"i": np.repeat(ids[p], len(q)), "j": np.tile(ids[q], len(p)), "sim": sim.ravel()})
+
+    return left.unionByName(right).groupBy("bi", "bj").applyInArrow(compare, "i long, j long, sim double")
 
 
 def contig_edges(similarity: DataFrame, k: int = 5, threshold: float = 0.85) -> DataFrame:

@@ -94,7 +94,7 @@ def read_items(spark: SparkSession, folder: str, pattern: str = "*.parquet", mat
     key = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]+)?$", 1)
     if "row_idx" in df.columns:
         return df.select(key.alias("key"), "row_idx", F.col(matrix_key).alias("embedding"))
-    return in_file_order(df.select(key.alias("key"), F.col(matrix_key).alias("embedding")), "row_idx").select("key", "row_idx", "embedding")
+    return in_file_order(df.select(key.alias("key"), F.col(matrix_key).alias("embedding")), "row_idx", each_file=True).select("key", "row_idx", "embedding")
 
 
 def cluster_contigs(spark: SparkSession, input_dir: str, output: str | None = None, pattern: str = "*.parquet", matrix_key: str = "embedding", k: int = 5, sim_threshold: float = 0.85, resolution: float = 10.0) -> dict[str, DataFrame]:
