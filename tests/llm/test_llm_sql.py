@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from vecloom.llm import queries
+from vecloom.llm import checks, queries  # noqa: F401 - the first adds queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm import abuse, clusters, diverse, formatdup, mixing, neardup, neighbours, packing, splitting
@@ -23,6 +23,11 @@ def params(spark: SparkSession, sf: str) -> dict[str, float]:
     return {r["param_name"]: r["param_value"] for r in table(spark, sf, "run_params").collect()}
 
 
+def best_first(of: str, value: str, name: str):
+    """Window of the rows of `of`, the largest value first, then the smallest name."""
+    return Window.partitionBy(of).orderBy(F.desc(value), name)
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     p = params(spark, sf)
     linked = clusters.linked_members(table(spark, sf, "vectors"), p["cluster_min_cosine"], int(p["vector_dim"]))
@@ -87,13 +92,17 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return formatdup.collapse_format_duplicates(table(spark, sf, "sequences")).withColumnRenamed("id", "seq_pos")
 
 
-def _subset(spark: SparkSession, sf: str) -> DataFrame:
-    """A varied subset; the labels of earlier runs are local to their run, and a run belongs to one vector database."""
-    p, v = params(spark, sf), table(spark, sf, "vectors")
+def earlier_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (idx, label); the labels of earlier runs are local to their run, and a run belongs to one vector database."""
+    v = table(spark, sf, "vectors")
     runs = table(spark, sf, "cluster_runs").select("run_id", "db_name")
     labels = table(spark, sf, "clusters").join(runs, "run_id").select(F.col("member_id").alias("id"), "db_name", F.concat_ws(":", F.col("run_id"), F.col("cluster_id")).alias("label"), "cluster_id")
-    labels = v.select("idx", "id", "db_name").join(labels.where("cluster_id IS NOT NULL AND id IS NOT NULL"), ["id", "db_name"]).select("idx", "label")
-    return diverse.varied_subset(v, int(p["subset_size"]), labels, dim=int(p["vector_dim"]))
+    return v.select("idx", "id", "db_name").join(labels.where("cluster_id IS NOT NULL AND id IS NOT NULL"), ["id", "db_name"]).select("idx", "label")
+
+
+def _subset(spark: SparkSession, sf: str) -> DataFrame:
+    p, v = params(spark, sf), table(spark, sf, "vectors")
+    return diverse.varied_subset(v, int(p["subset_size"]), earlier_labels(spark, sf), dim=int(p["vector_dim"]))
 
 
 def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,6 +202,18 @@ _NEAREST = f"""{_UNIT}, s AS (SELECT a.idx, b.idx AS neighbour, round(list_inner
     k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY similarity DESC, neighbour) AS rank FROM s)"""
 
 ORACLE: dict[str, str] = {
+    "p2_groups": """
+        WITH RECURSIVE c AS (SELECT DISTINCT seq_pos, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS s FROM sequences WHERE seq_pos IS NOT NULL AND sequence IS NOT NULL),
+             k AS (SELECT s, min(seq_pos) AS class FROM c WHERE length(s) >= 5 AND replace(s, 'X', '') <> '' GROUP BY s),
+             w AS (SELECT DISTINCT class, substr(s, i, 5) AS word FROM (SELECT class, s, unnest(range(1, length(s) - 3)) AS i FROM k)),
+             n AS (SELECT class, count(*) AS n FROM w GROUP BY class),
+             p AS (SELECT x.class AS a, y.class AS b, count(*) AS shared FROM w x JOIN w y ON x.word = y.word AND x.class < y.class GROUP BY 1, 2),
+             f AS (SELECT p.a, p.b FROM p JOIN n x ON x.class = p.a JOIN n y ON y.class = p.b WHERE 2 * shared >= x.n + y.n - shared),
+             e AS (SELECT a, b FROM f UNION SELECT b, a FROM f),
+             t AS (SELECT a AS x, a AS y FROM e UNION SELECT t.x, e.b FROM t JOIN e ON e.a = t.y),
+             g AS (SELECT x AS class, min(y) AS "group" FROM t GROUP BY x), d AS (SELECT a AS class, count(*) AS links FROM e GROUP BY a),
+             i AS (SELECT seq_pos, any_value(id) AS id FROM sequences GROUP BY seq_pos)
+        SELECT c.seq_pos, i.id, k.class, g."group", d.links FROM c JOIN k USING (s) JOIN g USING (class) JOIN d USING (class) JOIN i ON i.seq_pos = c.seq_pos""",
     "p1_found": f"""
         WITH RECURSIVE {_UNIT}, l AS (SELECT a.idx AS a, b.idx AS b FROM u a JOIN u b ON a.idx <> b.idx AND round(list_inner_product(a.v, b.v), 12) >= 0.9),
              t AS (SELECT a AS x, a AS y FROM l UNION SELECT t.x, l.b FROM t JOIN l ON l.a = t.y)
