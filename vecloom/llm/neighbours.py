@@ -30,7 +30,7 @@ NEAR_LIST_ROWS, LIST_ROWS = 500, 100
 NEAR_CELL_ROWS, CELL_ROWS = 4_000, 20_000
 COLUMNS = 16
 #: Of n lists, a query for neighbours at any distance visits VISITS * n ** GROWTH.
-VISITS, GROWTH = 1.6, 0.7
+VISITS, GROWTH = 1.6, 0.74
 #: Cosine from which on the lists near a vector's own hold its neighbours.
 NEAR = 0.9
 #: Standard deviations that a partial distance may stay below its expectation before a candidate is abandoned.
