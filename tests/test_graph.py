@@ -13,8 +13,9 @@ def components(edges, nodes=()):
     return label
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "finish"), [(0, 2_000_000), (1, 2_000_000), (2, 5), (3, 20)])
+def test_components(spark, monkeypatch, seed, finish):
+    monkeypatch.setattr(graph, "FINISH_ROWS", finish)
     rng = random.Random(seed)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)]
     rng.shuffle(edges)

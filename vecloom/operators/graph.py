@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.session import discard, materialize
 
+#: Edges that one task joins at once.
+FINISH_ROWS = 2_000_000
+
 
 def undirected_edges(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight") -> DataFrame:
     """Adds up parallel and opposite edges: one row (a, b, weight, n_edges) with a < b. Self loops and null ends are left out."""
@@ -29,15 +34,22 @@ def symmetrise_max(edges: DataFrame, src: str = "src", dst: str = "dst", weight:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Rows (id, component): every end of an edge with the smallest id of its component.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014). Each round's edges are written to the
-    shared folder, so neither lineage nor the driver grows. Null ends and self loops join nothing (a node that only
-    has a self loop is its own component); no edges give no rows. Minima are combined before the shuffle, and the
-    join of a hub's edges with its one minimum is left to adaptive skew handling.
+    Each task first joins what its own edges join, which leaves an edge a node and task. Up to FINISH_ROWS edges one task
+    does the same with all of them. More go through rounds of the large-star and small-star steps of Kiveris et al. (2014).
+    Each round's edges are written to the shared folder, so neither lineage nor the driver grows. Null ends and self loops
+    join nothing (a node that only has a self loop is its own component); no edges give no rows. Minima are combined
+    before the shuffle.
     """
     ends = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     now = materialize(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     first, state = now, None
+    now = materialize(now.mapInArrow(_joined, "u long, v long"), "cc")
     for _ in range(max_rounds):
+        if now.count() <= FINISH_ROWS:
+            step = materialize(now.repartition(1).mapInArrow(_joined, "u long, v long"), "cc")
+            discard(now)
+            now = step
+            break
         both = now.where("u <> v").select("u", "v")
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -61,6 +73,37 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     )
 
 
+def _joined(batches):
+    """Edges (u, v), u > v, in which every node points to the smallest one that it is connected with by the edges of a chunk of a task."""
+    left: list[pa.RecordBatch] = []
+
+    def stars() -> pa.RecordBatch:
+        ends = [np.concatenate([b.column(c).to_numpy() for b in left]) for c in (0, 1)]
+        name, at = np.unique(np.concatenate(ends), return_inverse=True)
+        a, b = at[: len(ends[0])], at[len(ends[0]) :]
+        label = np.arange(len(name))
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (label[label] != label).any():
+                label = label[label]
+        moved = label != np.arange(len(name))
+        return pa.record_batch([pa.array(name[moved]), pa.array(name[label[moved]])], names=["u", "v"])
+
+    n = 0
+    for batch in batches:
+        left.append(batch)
+        n += batch.num_rows
+        if n >= FINISH_ROWS:
+            yield stars()
+            left, n = [], 0
+    if left:
+        yield stars()
+
+
 def component_labels(components: DataFrame, vertices: DataFrame, id_col: str) -> DataFrame:
     """Every vertex with `component`; those without an edge stand for themselves."""
     c = components.withColumnRenamed("id", id_col)

@@ -68,7 +68,7 @@ def knn_join(
     Fewer than k rows in `base` give fewer ranks, an empty side gives none. Rows with a null id, a null vector or
     components that are not finite are left out; a vector of another size is an error, as is an unknown metric.
 
-    The side that is small enough (its size is counted first) is sent to all tasks. If neither is, both are cut into
+    The side that is small enough is sent to all tasks; of either no more than BROADCAST_BYTES is read to find out. If neither is, both are cut into
     blocks, and every pair of blocks gives partial results that are merged by rank. Either way no cross join is planned,
     and a row is moved as often as the other side has blocks.
     """
@@ -94,15 +94,15 @@ def knn_join(
         good = np.isfinite(x).all(axis=1)
         return ids.to_numpy(zero_copy_only=False).astype(np.int64)[good], x[good]
 
-    def gathered(df):
-        t = df.toArrow().combine_chunks()
+    def gathered(t):
+        t = t.combine_chunks()
         ids, x = finite(*(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in t.columns))
         order = np.argsort(ids, kind="stable")
         return ids[order], _scaled(x[order], metric)
 
-    n_base = b.limit(most + 1).count()
-    if n_base <= most:
-        held = spark.sparkContext.broadcast(gathered(b))
+    small = b.limit(most + 1).toArrow()
+    if small.num_rows <= most:
+        held = spark.sparkContext.broadcast(gathered(small))
 
         def per_query(batches):
             ids, x = held.value
@@ -112,8 +112,8 @@ def knn_join(
                 yield pa.record_batch([pa.array(qids[r]), pa.array(ids[c]), pa.array(d)], names=["query_id", "id", "distance"])
 
         found = q.mapInArrow(per_query, schema)
-    elif q.limit(most + 1).count() <= most:
-        held = spark.sparkContext.broadcast(gathered(q))
+    elif (small := q.limit(most + 1).toArrow()).num_rows <= most:
+        held = spark.sparkContext.broadcast(gathered(small))
 
         def per_base(batches):
             qids, y = held.value
