@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import fixed_binary, from_binary, mix64, unit_rows, vector_block
 from vecloom.operators.graph import connected_components
-from vecloom.session import materialize
+from vecloom.session import materialize, scratch
 
 #: Expected rows of unrelated vectors in a bucket above which a band takes more minima.
 BUCKET_ROWS = 4_000
@@ -299,7 +299,8 @@ def _links(a, b, sure) -> pa.Table:
 
 def verified_links(vectors: DataFrame, cosine: float = 0.9, dim: int = 64, id_col: str = "idx", vector_col: str = "embedding", recall: float = 0.9994) -> DataFrame:
     """Rows (a, b), a < b, with a cosine of at least `cosine`, that connect whatever candidate_links() connects."""
-    found = materialize(candidate_links(vectors, cosine, dim, id_col, vector_col, recall), "links")
+    with scratch() as keep:
+        found = keep(materialize(candidate_links(vectors, cosine, dim, id_col, vector_col, recall), "links"))
     unsure = found.where("NOT sure").select("a", "b")
     ends = unsure.select(F.explode(F.array("a", "b")).alias("idx")).distinct()
     rows = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x")).join(ends, "idx", "left_semi").dropDuplicates(["idx"])
@@ -320,8 +321,9 @@ def linked_members(vectors: DataFrame, cosine: float = 0.9, dim: int = 64, id_co
     Invalid vectors (null, wrong size, not finite, zero) and null ids are in no cluster; rows with the same id are one
     vector. Exact copies under other ids are linked. Other columns are ignored. An empty table gives no rows.
     """
-    linked = connected_components(verified_links(vectors, cosine, dim, id_col, vector_col, recall))
-    return linked.withColumnRenamed("id", "idx")
+    with scratch() as keep:
+        linked = keep(materialize(connected_components(verified_links(vectors, cosine, dim, id_col, vector_col, recall)).withColumnRenamed("id", "idx"), "members"))
+    return linked
 
 
 def _near(x: np.ndarray, y: np.ndarray, limit: float) -> np.ndarray:
@@ -353,7 +355,7 @@ def similarity_clusters(
     """
     loose = cosine if loose is None else loose
     v = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vector_col).alias("x"))
-    members = materialize(linked_members(v, cosine, dim, "idx", "x", recall), "members")
+    members = linked_members(v, cosine, dim, "idx", "x", recall)
     size = members.groupBy("component").agg(F.count("*").alias("n"))
     grouped = v.join(members.join(size, "component"), "idx").select("idx", "x", "component", "n")
 
