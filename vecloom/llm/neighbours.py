@@ -61,7 +61,7 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, sim
 
 
-def _visits(x: np.ndarray, c: np.ndarray, gap: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+def _visits(x: np.ndarray, c: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists that each row visits: its own, then up to probes - 1 more whose border is within margin."""
     rows, lists = [], []
     take = min(probes, len(c))
@@ -71,7 +71,8 @@ def _visits(x: np.ndarray, c: np.ndarray, gap: np.ndarray, probes: int, margin:
         value = np.take_along_axis(y, near, axis=1)
         order = np.argsort(-value, axis=1, kind="stable")
         near, value = np.take_along_axis(near, order, axis=1), np.take_along_axis(value, order, axis=1)
-        border = (value[:, :1] - value) / np.maximum(gap[near[:, :1], near], 1e-6)
+        gap = np.sqrt(((c[near[:, :1]] - c[near]) ** 2).sum(axis=2))  # between the centroids
+        border = (value[:, :1] - value) / np.maximum(gap, 1e-6)
         r, j = np.nonzero(border <= margin)
         rows.append(r + s)
         lists.append(near[r, j])
@@ -178,7 +179,6 @@ def nearest_neighbours(
     x = from_binary(sample.column("x"), "float32", dim).astype(np.float64)
     lists = int(min(MOST_LISTS, max(1, n // (NEAR_LIST_ROWS if near else LIST_ROWS)), max(1, len(x))))
     centroids = fit_centroids(unit_rows(x), lists) if len(x) else np.zeros((1, dim), np.float32)
-    gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0)).astype(np.float32)
     visits = lists if lists < 2 else min(lists, visits or math.ceil(VISITS * lists**GROWTH))
 
     if near:  # every list has a cell
@@ -190,13 +190,13 @@ def nearest_neighbours(
 
     def stores(unit):
         if near:
-            return _visits(unit, centroids, gap, probes, margin)
+            return _visits(unit, centroids, probes, margin)
         return np.arange(len(unit)), _nearest(unit, centroids)[0]
 
     def asked(unit):
         """(row, cell, cosine that a list's centroid needs) of the cells that each row asks."""
         if near:
-            row, to = _visits(unit, centroids, gap, probes, margin)
+            row, to = _visits(unit, centroids, probes, margin)
             return row, to, np.full(len(row), -2, np.float32)
         rows, cells, cuts = [], [], []
         for s in range(0, len(unit), 2048):
