@@ -18,29 +18,26 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vecloom", description="Vector search and clustering of sequences on Spark")
     commands = p.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *, help: str) -> argparse.ArgumentParser:
-        return commands.add_parser(name, help=help)
-
-    c = command("build-db", help="FASTA to database")
+    c = commands.add_parser("build-db", help="FASTA to database")
     c.add_argument("--fasta", "-f", required=True)
     c.add_argument("--output", "-o", required=True)
     c.add_argument("--embedder-config", "-e", default=embed.DEFAULT)
     c.add_argument("--metric", default="cosine", choices=METRICS)
-    c = command("search-db", help="nearest vectors of the sequences of a FASTA file")
+    c = commands.add_parser("search-db", help="nearest vectors of the sequences of a FASTA file")
     c.add_argument("--database", "-d", required=True)
     c.add_argument("--query", "-q", required=True)
     c.add_argument("--top-k", "-k", type=int, default=10)
     c.add_argument("--metric", default=None, choices=METRICS)
-    c = command("embed", help="FASTA to a Parquet table of vectors")
+    c = commands.add_parser("embed", help="FASTA to a Parquet table of vectors")
     c.add_argument("--fasta", "-f", required=True)
     c.add_argument("--output", "-o", required=True)
     c.add_argument("--embedder-config", "-e", default=embed.DEFAULT)
-    c = command("gene-call", help="genes of nucleotide sequences")
+    c = commands.add_parser("gene-call", help="genes of nucleotide sequences")
     c.add_argument("--fasta", "-f", required=True)
     c.add_argument("--output", "-o", required=True)
     c.add_argument("--mode", "-m", choices=genes.MODES, default="metagenome")
     c.add_argument("--threads", "-t", type=int, default=1, help="accepted and ignored: Spark sets the parallelism")
-    c = command("csv-to-fasta", help="delimited text to FASTA")
+    c = commands.add_parser("csv-to-fasta", help="delimited text to FASTA")
     c.add_argument("--csv", "-c", required=True)
     c.add_argument("--output", "-o", required=True)
     c.add_argument("--id-col", required=True)
@@ -48,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--desc-col")
     c.add_argument("--delimiter", default=",")
     c.add_argument("--no-header", action="store_true")
-    c = command("cluster", help="clusters of a database or a FASTA file")
+    c = commands.add_parser("cluster", help="clusters of a database or a FASTA file")
     source = c.add_mutually_exclusive_group(required=True)
     source.add_argument("--database", "-d")
     source.add_argument("--fasta", "-f")
@@ -62,7 +59,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--min-cluster-size", type=int, default=2)
     c.add_argument("--max-samples", type=int, default=None)
     c.add_argument("--sequence-alignment", action="store_true")
-    c = command("find-peak", help="intervals of a score column")
+    c = commands.add_parser("find-peak", help="intervals of a score column")
     c.add_argument("--input", "-i", required=True)
     c.add_argument("--output", "-o")
     c.add_argument("--score-col", "-s", required=True)
@@ -71,7 +68,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--distance", type=int, default=5)
     c.add_argument("--rel-height", type=float, default=0.15)
     c.add_argument("--no-flip", action="store_true")
-    c = command("remote-score", help="best vector of every query")
+    c = commands.add_parser("remote-score", help="best vector of every query")
     c.add_argument("--database", "-d", required=True)
     query = c.add_mutually_exclusive_group(required=True)
     query.add_argument("--fasta", "-f")

@@ -42,10 +42,3 @@ def to_distance(d: str | Column, metric: str = "cosine") -> Column:
     """1 - similarity for cosine; unchanged otherwise."""
     c = F.col(d) if isinstance(d, str) else d
     return F.lit(1.0) - c if metric == "cosine" else c
-
-
-def assert_dim(v: str | Column, dim: int) -> Column:
-    """The vector, or a runtime error if it has not `dim` components."""
-    c = F.col(v) if isinstance(v, str) else v
-    message = F.concat(F.lit(f"dimension mismatch: expected {dim}, got "), F.size(c).cast("string"))
-    return F.when(F.size(c) == dim, c).otherwise(F.raise_error(message).cast("array<float>"))

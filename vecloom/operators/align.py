@@ -73,7 +73,7 @@ def alignment(a: str, b: str, mode: str = "global", gap_open: float = 10, gap_ex
     gap in `a`. The recurrences run along anti-diagonals, so each step is one vector operation.
     """
     if mode not in ("global", "local"):
-        raise ValueError(f"Unknown alignment mode: {mode}")
+        raise ValueError(f"mode must be global or local, not {mode}")
     table = score_table() if table is None else table
     x, y = _codes(a), _codes(b)
     n, m = len(x), len(y)
@@ -120,7 +120,7 @@ def alignment(a: str, b: str, mode: str = "global", gap_open: float = 10, gap_ex
 def sequence_identity(a: str | None, b: str | None, mode: str = "global", gap_open: float = 10, gap_extend: float = 1, table: np.ndarray | None = None) -> float:
     """100 * matches / length of the alignment; 0 if a sequence is null or empty or nothing is aligned."""
     if mode not in ("global", "local"):
-        raise ValueError(f"Unknown alignment mode: {mode}")
+        raise ValueError(f"mode must be global or local, not {mode}")
     if not a or not b:
         return 0.0
     _, matches, length = alignment(a, b, mode, gap_open, gap_extend, table)
@@ -130,7 +130,7 @@ def sequence_identity(a: str | None, b: str | None, mode: str = "global", gap_op
 def identity(a: str | Column, b: str | Column, mode: str = "global", gap_open: float = 10, gap_extend: float = 1) -> Column:
     """sequence_identity as a column expression."""
     if mode not in ("global", "local"):
-        raise ValueError(f"Unknown alignment mode: {mode}")
+        raise ValueError(f"mode must be global or local, not {mode}")
 
     def run(pairs):
         table = score_table()

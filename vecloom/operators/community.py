@@ -136,7 +136,8 @@ def leiden_communities(edges: DataFrame, vertices: DataFrame, resolution: float
 
     Quality is additive over components, so each component is a group of its own, with the weight of the whole graph. A
     component of over TASK_EDGES edges is first coarsened: in alternate halves, nodes move to the neighbouring community
-    with the largest gain, and communities become nodes, until it fits a task. Vertices without edges are alone.
+    with the largest gain, and communities become nodes, until it fits a task or nothing gains. What comes of that goes back
+    to the vertices, which then move in alternate halves while the quality grows; see _moved(). Vertices without edges are alone.
     """
     e = edges.where(F.col(a) != F.col(b)).groupBy(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).agg(F.sum(weight).alias("w"))
     e = materialize(e, "edges")
@@ -147,7 +148,10 @@ def leiden_communities(edges: DataFrame, vertices: DataFrame, resolution: float
     large = [r["component"] for r in size.where(F.col("n") > TASK_EDGES).collect()]  # at most edges / TASK_EDGES
     held = None
     if large:
+        whole = e.where(F.col("component").isin(large)).select("a", "b", "w")
         e, held = _coarsened(e, F.col("component").isin(large), resolution, total)
+        tight = [r["component"] for r in e.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > TASK_EDGES).collect()]
+        e = e.where(~F.col("component").isin(tight))  # nothing gains there any more: its nodes are communities
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["w"].tolist()))
@@ -163,18 +167,58 @@ def leiden_communities(edges: DataFrame, vertices: DataFrame, resolution: float
         found = held.join(found.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("community", "node").alias("community")).unionByName(
             found.join(held.select(F.col("node").alias("id")).distinct(), "id", "left_anti")
         )
+        found = materialize(found, "found")
+        moved = _moved(whole, held.select("id").join(found, "id"), resolution, total)
+        found = moved.unionByName(found.join(moved.select("id"), "id", "left_anti"))
         low = found.groupBy("community").agg(F.min("id").alias("low"))
         found = found.join(low, "community").select("id", F.col("low").alias("community"))
     return comp.join(found, "id", "left").select("id", "component", F.coalesce("community", "id").alias("cluster_id"))
 
 
-def _coarsened(e: DataFrame, which, resolution: float, total: float, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def _moved(e: DataFrame, labels: DataFrame, resolution: float, total: float, rounds: int = 40) -> DataFrame:
+    """(id, community) after single vertices of edges (a, b, w) have moved to better communities, and those have been split into connected parts.
+
+    In each round a half of the vertices, by hash, may move, each to the neighbouring community with the largest gain.
+    Rounds go on while the quality grows; one that lowers it, as moves at once can, is not taken.
+    """
+    scale = resolution / (2 * total)
+    both = materialize(e.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")), "both")
+    k = materialize(both.groupBy("u").agg(F.sum("w").alias("k")), "degrees")
+    now, quality, still = materialize(labels.select("id", "community"), "labels"), None, 0
+    for turn in range(rounds):
+        mine = k.join(now.withColumnsRenamed({"id": "u", "community": "own"}), "u")
+        mass = materialize(mine.groupBy("own").agg(F.sum("k").alias("mass")), "mass")
+        to = both.join(now.withColumnsRenamed({"id": "v", "community": "c"}), "v").groupBy("u", "c").agg(F.sum("w").alias("to"))
+        to = materialize(to.join(mine, "u").join(mass.withColumnsRenamed({"own": "c", "mass": "there"}), "c").join(mass, "own"), "gains")
+        inside = to.where("c = own").agg(F.coalesce(F.sum("to"), F.lit(0.0))).first()[0] / 2
+        value = inside - scale / 2 * mass.agg(F.sum(F.col("mass") * F.col("mass"))).first()[0]
+        if quality is not None and value < quality[0] - 1e-9:
+            now, still = quality[1], still + 1
+            if still > 1:
+                break
+            continue
+        quality = (value, now)
+        stay = F.max(F.when(F.col("c") == F.col("own"), F.col("to"))).alias("stays")
+        best = F.max(F.when(F.col("c") != F.col("own"), F.struct((F.col("to") - scale * F.col("k") * F.col("there")).alias("g"), (-F.col("c")).alias("c")))).alias("best")
+        per = to.groupBy("u").agg(best, stay, F.first("k").alias("k"), F.first("mass").alias("mass"))
+        half = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
+        per = per.where(half & (F.col("best.g") > F.coalesce("stays", F.lit(0.0)) - scale * F.col("k") * (F.col("mass") - F.col("k")) + 1e-12))
+        moves = materialize(per.select(F.col("u").alias("id"), (-F.col("best.c")).alias("to")), "moves")
+        still = still + 1 if not moves.limit(1).count() else 0
+        if still > 1:
+            break
+        now = materialize(now.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community")), "labels")
+    ends = e.join(now.withColumnsRenamed({"id": "a", "community": "ca"}), "a").join(now.withColumnsRenamed({"id": "b", "community": "cb"}), "b").where("ca = cb").select("a", "b")
+    return component_labels(connected_components(ends), now, "id").select("id", F.col("component").alias("community"))
+
+
+def _coarsened(e: DataFrame, which, resolution: float, total: float, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
     """Edges with the chosen components coarsened, and (id, node): the node that stands for each of their vertices."""
     rest, e = e.where(~which), materialize(e.where(which), "edges")
     label = materialize(e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct().withColumn("node", F.col("id")), "labels")
     comp = e.select(F.col("a").alias("node"), "component").unionByName(e.select(F.col("b").alias("node"), "component")).distinct()
     scale = resolution / (2 * total)
-    now = e.select("a", "b", "w")
+    now, still = e.select("a", "b", "w"), 0
     for turn in range(rounds):
         both = now.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "w")
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
@@ -184,6 +228,9 @@ def _coarsened(e: DataFrame, which, resolution: float, total: float, rounds: int
         half = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) < F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2))
         move = gain.where(half & (F.col("g") > 0)).groupBy("u").agg(F.max(F.struct("g", (-F.col("v")).alias("v"))).alias("m")).select(F.col("u").alias("node"), (-F.col("m.v")).alias("to"))
         move = materialize(move, "moves")
+        still = still + 1 if not move.limit(1).count() else 0
+        if still > 4:  # of five ways to halve the nodes none lets any move
+            break
         label = materialize(label.join(move, "node", "left").select("id", F.coalesce("to", "node").alias("node")), "labels")
         for end in ("a", "b"):
             now = now.join(move.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import fixed_binary, from_binary
+from vecloom.operators.graph import symmetrise_max
 
 #: Rows of a block; every pair of blocks is compared.
 BLOCK_ROWS = 4_000
@@ -109,7 +110,7 @@ def contig_edges(similarity: DataFrame, k: int = 5, threshold: float = 0.85) ->
     """(a, b, weight), a < b: each item's k most similar others (ties to the smaller key), then those above the threshold, symmetrised by the maximum."""
     w = Window.partitionBy("key_i").orderBy(F.desc("max_mean"), "key_j")
     top = similarity.where(F.col("key_i") != F.col("key_j")).withColumn("n", F.row_number().over(w)).where((F.col("n") <= k) & (F.col("max_mean") > threshold))
-    return top.groupBy(F.least("key_i", "key_j").alias("a"), F.greatest("key_i", "key_j").alias("b")).agg(F.max("max_mean").alias("weight"))
+    return symmetrise_max(top, "key_i", "key_j", "max_mean")
 
 
 def contig_cluster_stats(similarity: DataFrame, labels: DataFrame) -> DataFrame:

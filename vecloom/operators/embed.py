@@ -39,7 +39,7 @@ class EmbedderConfig:
     def __post_init__(self) -> None:
         if self.dtype is not None:
             if self.dtype not in DTYPES:
-                raise ValueError(f"Unsupported dtype string: {self.dtype}")
+                raise ValueError(f"no such dtype: {self.dtype}")
             object.__setattr__(self, "dtype", DTYPES[self.dtype])
 
     @classmethod
@@ -55,7 +55,7 @@ class EmbedderConfig:
         with open(path) as f:
             data = yaml.safe_load(f) or {}
         if not isinstance(data, dict):
-            raise ValueError("YAML must define a mapping of config fields")
+            raise ValueError("the file must hold one mapping of fields")
         return cls(**data)
 
     @classmethod

@@ -50,7 +50,7 @@ def call_genes(contigs: DataFrame, mode: str = "metagenome", caller: Callable[[s
     for all modes. Null and empty contigs have no genes.
     """
     if mode not in MODES:
-        raise ValueError(f"Unknown mode: {mode}. Use one of {', '.join(MODES)}.")
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode}")
     find = caller or open_frames
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,7 @@ def symmetrise_max(edges: DataFrame, src: str = "src", dst: str = "dst", weight:
     return (
         edges.where(F.col(src) != F.col(dst))
         .groupBy(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
-        .agg(F.max(weight).alias("weight"))
+        .agg(F.max(F.col(weight)).alias("weight"))
     )
 
 

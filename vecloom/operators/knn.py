@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow import fixed_binary, from_binary, mix64
+from vecloom.functions.vectors import to_distance
 
 METRICS = ("cosine", "euclidean")
 #: A side of at most this many bytes is sent to every task; beyond it both sides are cut into blocks of BLOCK_ROWS.
@@ -188,14 +189,18 @@ def nested_hits(hits: DataFrame) -> DataFrame:
 
 def hit_lines(hits: DataFrame) -> DataFrame:
     """The console line of every hit: rank, id, distance to 4 places, description cut at 50 characters."""
-    d = F.col("description")
-    short = F.when(F.length(d) > 50, F.concat(F.substring(d, 1, 50), F.lit("..."))).otherwise(d)
-    return hits.withColumn("line", F.format_string("%d. %s dist=%.4f %s", F.col("rank"), F.col("id").cast("string"), F.col("distance"), short))
+    return hits.withColumn("line", F.format_string("%d. %s dist=%.4f %s", F.col("rank"), F.col("id").cast("string"), F.col("distance"), shortened("description")))
+
+
+def shortened(column: str, most: int = 50) -> Column:
+    """The text, cut at `most` characters and then with three dots."""
+    c = F.col(column)
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
 def knn_edges(neighbours: DataFrame, threshold: float = 0.1, metric: str = "cosine") -> DataFrame:
     """Directed edges (src, dst, dist, weight) of a kNN result: dist below the threshold, no self edges, weight exp(-dist)."""
-    d = F.round(F.lit(1.0) - F.col("distance"), 9) if metric == "cosine" else F.col("distance")
+    d = F.round(to_distance("distance", metric), 9)
     e = neighbours.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), d.alias("dist"))
     return e.where((F.col("dist") < threshold) & (F.col("src") != F.col("dst"))).withColumn("weight", F.exp(-F.col("dist")))
 

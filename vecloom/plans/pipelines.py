@@ -17,7 +17,7 @@ def cluster_db(
 ) -> dict[str, DataFrame]:
     """clusters (representative_id, member_id, cluster_id), cluster_stats and summary of a database, by cosine; as TSV under `output` if given."""
     if method not in ("leiden", "mst"):
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"method must be leiden or mst, not {method}")
     v = db.vectors.select("idx", "id", "description", "embedding")
     near = db.neighbours(k) if db.metric == "cosine" else knn.knn_self(v, k, "cosine", "idx")
     edges = materialize(knn.knn_edges(near, dist_threshold), "edges")

@@ -120,8 +120,7 @@ def hit_label_truncate(spark, sf):
     words = F.concat(F.lit("vector number "), F.col("vec_id").cast("string"), F.lit(" of the table of embeddings with label "), F.col("label").cast("string"))
     meta = e.select("vec_id", F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("id"), words.alias("description"))
     hits = knn.with_metadata(knn.knn_join(e, e, 3, "cosine", "vec_id", "vec_id"), meta)
-    d = F.col("description")
-    return hits.select("query_id", "rank", "id", F.when(F.length(d) > 50, F.concat(F.substring(d, 1, 50), F.lit("..."))).otherwise(d).alias("label"))
+    return hits.select("query_id", "rank", "id", knn.shortened("description").alias("label"))
 
 
 @query(f"WITH {_KNN} SELECT q AS query_id, count(*) AS hits, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM k WHERE rank <= 5 GROUP BY q")
