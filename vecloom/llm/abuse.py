@@ -40,7 +40,7 @@ MINED = 0.9
 
 # General vocabulary of insults and of explicit language in several languages, single words only. From general
 # knowledge of public lists of offensive words, such as "List of Dirty, Naughty, Obscene, and Otherwise Bad Words" (CC BY 4.0);
-# written down without reading any document of the tables.
+# written down without reading any document of the tables, but after the labelled passages and the beginning of an earlier vocabulary.
 LEXICON = [
     "asshole", "arsehole", "bastard", "bitch", "bollocks", "bullshit", "cocksucker", "crap", "cunt", "dickhead", "dipshit", "douchebag", "dumbass", "fuck", "fucked", "fucker",
     "fuckface", "imbecile", "jackass", "jerk", "moron", "motherfucker", "prick", "pussy", "retard", "shit", "shithead", "slut", "twat", "wanker", "whore", "blowjob", "boobs", "cumshot",
