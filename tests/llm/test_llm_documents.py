@@ -170,6 +170,12 @@ def test_spellings(spark, model, passage):
     assert got[0]["flagged"] and not got[1]["flagged"]
 
 
+@pytest.mark.parametrize("word", ["asshole", "moron", "Arschloch", "connard", "gilipollas", "мудак"])
+def test_a_word_of_the_lexicon_alone(spark, model, word):
+    got = flags(spark, model, [PLAIN * 3 + word + ", " + PLAIN * 3, PLAIN * 6])
+    assert got[0]["flagged"] and not got[1]["flagged"]
+
+
 def test_any_place_of_a_long_text(spark, model):
     long = PLAIN * 20_000
     assert flags(spark, model, [long + "drop dead, you filthy parasite", long])[0]["flagged"]

@@ -24,11 +24,13 @@ from vecloom.functions.sampling import hash_sample
 from vecloom.session import materialize
 
 #: Bits of the feature hash, words of a window, and how far apart the words of a skip-gram may be.
-BITS = 22
+BITS = 24
 WINDOW = 14
 REACH = 3
 #: Surroundings that each training passage is seen in.
 CONTEXTS = 6
+#: Times that a word of the lexicon is an example, each in surroundings of its own; with fewer an insult alone stays under the threshold.
+LEXICON_TIMES = 3
 #: Models that are averaged.
 MODELS = 3
 #: Letters of a stem.
@@ -229,21 +231,28 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 5, batch: int
 
 
 def train(examples: list[tuple[list[str], int]], background: list[list[str]], seed: int = 1, doubt: Model | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """ftrl() on windows: each example alone and set into words of background windows, and the background windows as
-    negatives, without those that `doubt`, an earlier model, takes for positive: what is unlabelled need not be negative."""
+    """ftrl() on windows: each example alone and set into words of background windows, for a positive one also these words
+    without it as a negative, so that they have no share in the example's weight, and the background windows as negatives, without those that `doubt`, an earlier model, takes for positive: what is unlabelled need not be negative."""
     rng = random.Random(seed)
     plain = background or [["."] * WINDOW]
 
-    def around(words: list[str]) -> list[str]:
+    def around(words: list[str]) -> tuple[list[str], list[str]]:
         room = max(0, WINDOW - len(words))
         filler = rng.choice(plain)[:room]
         before = rng.randint(0, len(filler))
-        return filler[:before] + words + filler[before:]
+        return filler[:before] + words + filler[before:], filler
 
     rows, labels = [], []
     for words, label in examples:
-        rows += [features(words), *(features(around(words)) for _ in range(CONTEXTS - 1))]
-        labels += [label] * CONTEXTS
+        rows.append(features(words))
+        labels.append(label)
+        for _ in range(CONTEXTS - 1):
+            set_in, filler = around(words)
+            rows.append(features(set_in))
+            labels.append(label)
+            if label and filler:
+                rows.append(features(filler))
+                labels.append(0)
     weights = doubt.dense() if doubt is not None else None
     for words in background:
         if rng.random() < 0.2:  # short ones stand for short texts
@@ -289,7 +298,7 @@ def fit(
     own = hash_sample(own, "p", most_examples).orderBy("p", "c").collect()
     bare = Speller({})
     split = [([spelling(w) for w in bare.words(r["p"])], int(r["c"] != "none")) for r in own] * 2
-    split += [([spelling(w) for w in bare.words(p)], 1) for p in lexicon]
+    split += [([spelling(w) for w in bare.words(p)], 1) for p in lexicon] * LEXICON_TIMES
     split = [(words, y) for words, y in split if words]
     score: dict[str, float] = {}
     for words, y in split:
