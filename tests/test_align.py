@@ -78,6 +78,20 @@ def test_gap_cost():
     assert align.alignment("AAAA", "AA")[0] == 4 + 4 - 11
 
 
+def test_many_pairs_are_aligned_as_each(monkeypatch):
+    """Side by side, in blocks of rows, for other costs and for null and empty texts."""
+    import random
+
+    rng = random.Random(2)
+    text = lambda most, letters="ARNDXBWYV": "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    pairs = [(a, a[: len(a) // 2] + text(9) + a[len(a) // 2 + 3 :]) for a in (text(40) for _ in range(60))] + [(text(30), text(50)) for _ in range(60)]
+    pairs += [(text(20, "AR"), text(20, "AR")) for _ in range(60)] + [(None, "A"), ("", "A"), ("A", ""), ("X" * 20, "X" * 20), (S1, S4)]
+    for cells in (align.MOST_CELLS, 500):
+        monkeypatch.setattr(align, "MOST_CELLS", cells)
+        for cost in ((10, 1), (4, 0), (2, 2), (1.5, 1)):
+            assert list(align.sequence_identities(pairs, *cost)) == pytest.approx([align.sequence_identity(a, b, "global", *cost) for a, b in pairs], abs=1e-9)
+
+
 def test_matrix(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate([S1, S1, S3, S4])], "seq_pos int, sequence string")
     rows = {(r["i"], r["j"]): r["pid"] for r in align.pairwise_identity(df, block_rows=2).collect()}

@@ -38,6 +38,11 @@ BLOSUM62 = """
 """
 
 
+#: Pairs that are aligned side by side, and scores that a task holds at once.
+SIDE_BY_SIDE = 128
+MOST_CELLS = 1 << 24
+
+
 def score_table(triangle: str = BLOSUM62, residues: str = RESIDUES) -> np.ndarray:
     """Scores by the letters' places in A..Z, 26 for anything else.
 
@@ -127,6 +132,150 @@ def sequence_identity(a: str | None, b: str | None, mode: str = "global", gap_op
     return 100.0 * matches / length if length else 0.0
 
 
+def sequence_identities(pairs: list[tuple[str | None, str | None]], gap_open: float = 10, gap_extend: float = 1, table: np.ndarray | None = None) -> np.ndarray:
+    """sequence_identity of many pairs in global mode, the same alignments.
+
+    Pairs of similar lengths are aligned side by side, a row of all of them at a time. Scores are whole numbers with
+    gap_extend added for every letter, so that only the opening of a gap costs something and the best gap along a row is a
+    running maximum; what is traced back needs the scores and whether each is that of a gap in `b`. Costs that are not whole
+    numbers, and a gap_extend over gap_open, go pair by pair.
+    """
+    table = score_table() if table is None else table
+    out = np.zeros(len(pairs))
+    if not (gap_open >= gap_extend >= 0 and float(gap_open).is_integer() and float(gap_extend).is_integer() and (table == np.floor(table)).all() and np.abs(table).max() <= 1000):
+        return np.array([sequence_identity(a, b, "global", gap_open, gap_extend, table) for a, b in pairs], dtype=np.float64)
+    codes = {s: _codes(s).astype(np.uint8) for p in pairs for s in p if s}
+    some = [k for k, (a, b) in enumerate(pairs) if a and b]
+    some.sort(key=lambda k: len(pairs[k][1]))
+    few: list[_Rows] = []
+    for s in range(0, len(some), 1024):
+        near = sorted(some[s : s + 1024], key=lambda k: -len(pairs[k][0]))
+        while near:
+            cells = (len(pairs[near[0]][0]) + 1) * (max(len(pairs[k][1]) for k in near[:SIDE_BY_SIDE]) + 1)
+            many = max(1, min(SIDE_BY_SIDE, MOST_CELLS // cells))
+            few.append(_Rows(near[:many], [codes[pairs[k][0]] for k in near[:many]], [codes[pairs[k][1]] for k in near[:many]], int(gap_open), int(gap_extend), table))
+            near = near[many:]
+            if sum(r.cells for r in few) >= MOST_CELLS or sum(len(r.names) for r in few) >= 4 * SIDE_BY_SIDE:
+                _identities(few, out)
+                few = []
+    _identities(few, out)
+    return out
+
+
+class _Rows:
+    """Pairs that are aligned side by side: x has their first sequences, the longest first."""
+
+    def __init__(self, names: list[int], x: list[np.ndarray], y: list[np.ndarray], gap_open: int, gap_extend: int, table: np.ndarray) -> None:
+        self.names, self.lengths = names, np.array([len(s) for s in x])
+        self.n, self.m = len(x[0]), max(len(s) for s in y)
+        self.widths = np.array([len(s) for s in y])
+        self.x, self.y = np.full((len(x), self.n), 26, np.uint8), np.full((len(y), self.m), 26, np.uint8)
+        for k, (a, b) in enumerate(zip(x, y)):
+            self.x[k, : len(a)], self.y[k, : len(b)] = a, b
+        self.cost = gap_open - gap_extend
+        top = int(table.max() + 2 * gap_extend) * min(self.n, self.m) + 4 * gap_open + 4 * int(np.abs(table).max())
+        self.kind, self.low = (np.int16, -15_000) if top < 15_000 else (np.int32, -1_000_000_000)
+        self.table = np.ascontiguousarray(table + 2 * gap_extend, dtype=self.kind)
+        # rows that are held at once; one more is kept from each block before it
+        self.block = max(1, min(self.n, MOST_CELLS // (len(x) * (self.m + 1))))
+        self.cells = len(x) * (self.m + 1) * (self.block + 1)
+        self.starts: list[tuple[np.ndarray, np.ndarray]] = []
+        # the scores of every letter with all of y, with a column before them that nothing comes from
+        profile = np.full((len(y), 27, self.m + 1), self.low, self.kind)
+        profile[:, :, 1:] = self.table.T[self.y].transpose(0, 2, 1)
+        self.profile = profile.reshape(-1, self.m + 1)
+
+    def forward(self) -> None:
+        """All rows; of each block but the last only the row before it stays."""
+        many, wide = len(self.names), self.m + 1
+        h, f = np.full((many, wide), -self.cost, self.kind), np.full((many, wide), self.low, self.kind)
+        h[:, 0] = 0
+        self.starts = [(h, f)]
+        for at in range(0, self.n, self.block):
+            h, f = self.rows(at)
+            self.starts.append((h, f))
+        self.starts.pop()
+
+    def rows(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows at + 1 to at + block into self.h and self.gap, row `at` before them; returns what the next block begins with."""
+        many, wide, cost = len(self.names), self.m + 1, self.kind(self.cost)
+        self.at, most = at, min(self.n, at + self.block) - at
+        self.h, self.gap = np.empty((most + 1, many, wide), self.kind), np.empty((most + 1, many, wide), bool)
+        h, f = self.starts[at // self.block][0], self.starts[at // self.block][1].copy()
+        self.h[0] = h
+        s, b, up, left = (np.empty((many, wide), self.kind) for _ in range(4))
+        first = np.arange(many) * 27
+        for i in range(1, most + 1):
+            go = int(np.searchsorted(-self.lengths, -(at + i), side="right"))  # pairs that have this row
+            before, now = self.h[i - 1, :go].reshape(-1), self.h[i, :go].reshape(-1)
+            f_, s_, b_, up_, left_ = (z[:go].reshape(-1) for z in (f, s, b, up, left))
+            np.take(self.profile, first[:go] + self.x[:go, at + i - 1], axis=0, out=s[:go], mode="clip")
+            np.maximum(f_, before, out=f_)
+            np.subtract(f_, cost, out=up_)
+            np.add(before[:-1], s_[1:], out=b_[1:])
+            b[:go, 0] = -cost
+            np.maximum(b_, up_, out=b_)
+            np.maximum.accumulate(b[:go], axis=1, out=left[:go])
+            np.subtract(left_, cost, out=left_)
+            np.maximum(b_[1:], left_[:-1], out=now[1:])
+            self.h[i, :go, 0] = -cost
+            np.equal(now, up_, out=self.gap[i, :go].reshape(-1))
+        return self.h[most], f
+
+
+def _identities(few: list[_Rows], out: np.ndarray) -> None:
+    """Aligns and traces the pairs of `few`; those that have one block together."""
+    for r in few:
+        r.forward()
+    for group in ([r for r in few if len(r.starts) == 1], *([r] for r in few if len(r.starts) > 1)):
+        if not group:
+            continue
+        name = np.concatenate([r.names for r in group])
+        i, j = np.concatenate([r.lengths for r in group]), np.concatenate([r.widths for r in group])
+        state, value = np.zeros(len(i), np.int8), np.zeros(len(i), np.int64)
+        matches, length = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        for at in range(max(r.at for r in group), -1, -group[0].block) if len(group) == 1 else [0]:
+            if at != group[0].at:
+                group[0].rows(at)
+            _trace(group, at, i, j, state, value, matches, length)
+        out[name] = 100.0 * matches / (length + i + j)  # what is left is one gap
+
+
+def _trace(group: list[_Rows], at: int, i: np.ndarray, j: np.ndarray, state: np.ndarray, value: np.ndarray, matches: np.ndarray, length: np.ndarray) -> None:
+    """Follows all pairs back to row `at` or the first column; the arrays are changed in place. state: 0 anywhere, 1 in a gap in `b`, 2 in a gap in `a`."""
+    h, gap = np.concatenate([r.h.reshape(-1) for r in group]), np.concatenate([r.gap.reshape(-1) for r in group])
+    x, y = np.concatenate([r.x.reshape(-1) for r in group]), np.concatenate([r.y.reshape(-1) for r in group])
+    start = lambda sizes: np.r_[0, np.cumsum(sizes)[:-1]]
+    base = np.concatenate([b + np.arange(len(r.names)) * (r.m + 1) for r, b in zip(group, start([r.h.size for r in group]))])
+    step = np.concatenate([np.full(len(r.names), len(r.names) * (r.m + 1)) for r in group])
+    base_x = np.concatenate([b + np.arange(len(r.names)) * r.n for r, b in zip(group, start([r.x.size for r in group]))]) - 1
+    base_y = np.concatenate([b + np.arange(len(r.names)) * r.m for r, b in zip(group, start([r.y.size for r in group]))]) - 1
+    table, cost = group[0].table.reshape(-1).astype(np.int64), group[0].cost
+    who = np.flatnonzero((i > at) & (j > 0))
+    while len(who):
+        a, b, st, v = i[who], j[who], state[who], value[who]
+        ba, sa, bx, by = base[who] - at * step[who], step[who], base_x[who], base_y[who]
+        same, long = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
+        for _ in range(16):
+            live = (a > at) & (b > 0)
+            here = np.where(live, ba + a * sa + b, ba + (at + 1) * sa + 1)
+            xa, yb = x[np.where(live, bx + a, bx + 1)], y[np.where(live, by + b, by + 1)]
+            now = h[here].astype(np.int64)
+            pair = live & (st == 0) & (now == h[here - sa - 1] + table[xa.astype(np.int64) * 27 + yb])
+            opened = live & (st == 0) & ~pair
+            v, st = np.where(opened, now, v), np.where(opened, np.where(gap[here], 1, 2), st)
+            in_b, in_a = live & (st == 1), live & (st == 2)
+            end = (in_b | in_a) & (v == h[np.where(in_b, here - sa, here - 1)] - np.int64(cost))
+            a, b = a - (pair | in_b), b - (pair | in_a)
+            same += pair & (xa == yb)
+            long += live
+            st = np.where(end, 0, st)
+        i[who], j[who], state[who], value[who] = a, b, st, v
+        matches[who] += same
+        length[who] += long
+        who = who[(a > at) & (b > 0)]
+
+
 def identity(a: str | Column, b: str | Column, mode: str = "global", gap_open: float = 10, gap_extend: float = 1) -> Column:
     """sequence_identity as a column expression."""
     if mode not in ("global", "local"):
@@ -135,6 +284,9 @@ def identity(a: str | Column, b: str | Column, mode: str = "global", gap_open: f
     def run(pairs):
         table = score_table()
         for x, y in pairs:
+            if mode == "global":
+                yield pd.Series(sequence_identities(list(zip(x, y)), gap_open, gap_extend, table), dtype="float64")
+                continue
             yield pd.Series([sequence_identity(s, t, mode, gap_open, gap_extend, table) for s, t in zip(x, y)], dtype="float64")
 
     run.__annotations__ = {"pairs": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
