@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecloom.llm import formatdup, neardup, splitting
 
@@ -233,3 +234,21 @@ def test_long_records_at_low_thresholds(spark):
     want = {(a, b) for a in w for b in w if a < b and len(w[a] & w[b]) >= 0.3 * len(w[a] | w[b])}
     pairs, members = neardup.near_duplicate_pairs(df, 0.3, 4)
     assert len(want) >= 50 and {tuple(r) for r in neardup.record_pairs(pairs, members).select("id_a", "id_b").collect()} == want
+
+
+def test_common_words_are_counted_in_all_records(spark, monkeypatch):
+    """Every word of a text that is in one record more than the limit is found, in whichever records it is; none at the limit."""
+    monkeypatch.setattr(neardup, "COMMON_ROWS", 640)
+    ids = [r["id"] for r in spark.range(3000).where(F.pmod(F.xxhash64("id"), F.lit(10)) != 0).limit(641).collect()]
+    word = lambda s: int(neardup._ordered(neardup._windows(np.frombuffer(s.encode(), np.uint8) & np.uint8(31), np.array([len(s)]), neardup.LONG_WINDOW)[1], None)[0])
+    often, at_limit = "ACDEFGHI", "KLMNPQRS"
+    rows = [(i, often + ("" if k == 0 else "X" + at_limit)) for k, i in enumerate(ids)] + [(i + 10_000, "WYV") for i in range(50)]
+    found = neardup._common_words(spark.createDataFrame(rows, "id long, text string"))
+    assert word(often) in found.tolist() and word(at_limit) not in found.tolist()
+
+
+def test_hot_words_are_counted_in_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 100)
+    rows = [(g, [7, -5] if g < 101 else [-5, g]) for g in range(201)] + [(0, [9, 7])] * 150 + [(1, None)]
+    found = neardup._hot_words(spark.createDataFrame(rows, "gid long, words array<long>").where("words IS NOT NULL"))
+    assert {(r["word"], r["g"]) for r in found.collect()} == {(7, 2), (-5, 3)}

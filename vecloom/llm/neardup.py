@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,10 @@ PREFIX_WORDS = 32
 SHORT_WINDOWS = 40
 REPEATED = 0.05
 #: A word is common if it occurs more often than this, and hot if it is in more prefixes than this; at most MOST_COMMON are
-#: sent to the tasks, those that occur most. COUNTED is what such a word is expected to occur in the records it is counted in.
+#: sent to the tasks, those that occur most.
 COMMON_ROWS = 5_000
 HOT_ROWS = 1_000
 MOST_COMMON = 500_000
-COUNTED = 64
 #: Steps of a size for each power of two, in the last ten bits of a group's number.
 SIZE_STEPS = 43
 #: Share of a record's long windows that another has too, at the least, if their similarity by windows of 5 is 0.5.
@@ -57,10 +57,12 @@ def _windows(flat: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(flat) - k + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    code = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        code *= np.uint64(32)
-        code += flat[j : j + n]
+    one = code = flat.astype(np.uint64)
+    got = 1
+    while got < k:  # two windows beside each other, or one and a letter
+        take = got if 2 * got <= k else 1
+        code = (code[: len(flat) - got - take + 1] << np.uint64(5 * take)) | (code if take == got else one)[got : len(flat) - take + 1]
+        got += take
     row = np.repeat(np.arange(len(lengths)), lengths)
     inside = row[:n] == row[k - 1 :]
     return row[:n][inside], code[inside]
@@ -183,42 +185,93 @@ def _rank(row: np.ndarray) -> np.ndarray:
     return np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
 
 
+def _full_buckets(rows: DataFrame, codes, many: int, limit: int) -> np.ndarray:
+    """Counts the values that `codes` makes of the batches of `rows`, about `many`, in buckets of a hash; True for those with more
+    than `limit`. A value that occurs more than `limit` times is in one of these for certain, so only what they hold need be counted by value."""
+    bits = min(24, max(10, math.ceil(math.log2(2 * many / limit + 1))))
+
+    def count(batches):
+        total = np.zeros(1 << bits, dtype=np.int64)
+        for batch in batches:
+            for code in codes(batch):
+                total += np.bincount(_bucket(code, bits), minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    found = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("bucket").toArrow()
+    full = np.zeros(1 << bits, dtype=bool)
+    full[found.column("bucket").to_numpy()] = True
+    return full
+
+
+def _bucket(code: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _in_full(code: np.ndarray, full: np.ndarray) -> np.ndarray:
+    return full[_bucket(code, len(full).bit_length() - 1)]
+
+
 def _common_words(texts: DataFrame) -> np.ndarray | None:
-    """Words that occur more than COMMON_ROWS times, in order; None if there are none.
+    """Words that occur more than COMMON_ROWS times, in order; None if there are none. All records are counted, in two steps (see _full_buckets)."""
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).first()
+    if size["n"] <= COMMON_ROWS:
+        return None
 
-    They are counted in a share of the records, by hash of the id, in which such a word is expected COUNTED times. A common
-    word that is not found costs time, not pairs: any order of the words that all records share is right.
-    """
-    n, share = texts.count(), max(1, COMMON_ROWS // COUNTED)
-    if n <= COMMON_ROWS:
+    def codes(batch):
+        letters = [letters_of(s) for s in batch.column(0).to_pylist()]
+        for a, b in _pieces(letters):
+            lengths = np.array([len(s) for s in letters[a:b]], dtype=np.int64)
+            yield _windows(np.frombuffer(b"".join(letters[a:b]), dtype=np.uint8) & np.uint8(31), lengths, LONG_WINDOW)[1]
+
+    own = texts.select("text")
+    full = _full_buckets(own, codes, size["letters"], COMMON_ROWS)
+    if not full.any():
         return None
 
     def count(batches):
         for batch in batches:
-            letters = [letters_of(s) for s in batch.column(1).to_pylist()]
-            for a, b in _pieces(letters):
-                lengths = np.array([len(s) for s in letters[a:b]], dtype=np.int64)
-                _, code = _windows(np.frombuffer(b"".join(letters[a:b]), dtype=np.uint8) & np.uint8(31), lengths, LONG_WINDOW)
-                word, many = np.unique(mix64(code, 5) & ~_TOP, return_counts=True)
+            for code in codes(batch):
+                word, many = np.unique(mix64(code[_in_full(code, full)], 5) & ~_TOP, return_counts=True)
                 yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(many)], names=["word", "n"])
 
-    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
-    found = some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * share > COMMON_ROWS)
+    found = own.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON_ROWS)
     found = found.orderBy(F.desc("n"), "word").limit(MOST_COMMON).toArrow().column("word").to_numpy()
     return np.sort(found.view(np.uint64)) if len(found) else None
 
 
+def _hot_words(lead: DataFrame) -> DataFrame:
+    """Rows (word, g) of the words that more than HOT_ROWS groups have in their prefixes, g the blocks they are cut into."""
+    size = lead.agg(F.sum(F.size("words"))).first()[0] or 0
+
+    def values(words):
+        flat = words.flatten()
+        return flat.to_numpy(zero_copy_only=False).view(np.uint64)
+
+    full = _full_buckets(lead.select("words"), lambda batch: [values(batch.column(0))], size, HOT_ROWS)
+
+    def some(batches):
+        for batch in batches:
+            words = batch.column(0)
+            word = values(words)
+            gid = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            on = _in_full(word, full)
+            yield pa.record_batch([pa.array(word[on].view(np.int64)), pa.array(gid[on])], names=["word", "gid"])
+
+    held = lead.select("words", "gid").mapInArrow(some, "word long, gid long").distinct()
+    return held.groupBy("word").agg(F.ceil(F.count("*") / HOT_ROWS).alias("g")).where("g > 1")
+
+
 def _group_pairs(base: DataFrame, threshold: float) -> DataFrame:
     """Rows (g1, g2), g1 < g2, of the groups that share a word of their prefixes and whose sizes allow the similarity.
 
-    Words in more than HOT_ROWS prefixes (counted in a share of the groups) are joined by pairs of blocks, so that the
+    Words in more than HOT_ROWS prefixes are joined by pairs of blocks, so that the
     pairs of no word are the work of one task.
     """
     lead = base.where("words IS NOT NULL")
     words = lead.select(F.explode("words").alias("word"), "gid")
-    share = max(1, HOT_ROWS // COUNTED)
-    some = lead.where(F.pmod(F.xxhash64("gid"), F.lit(share)) == 0).dropDuplicates(["gid"]).select(F.explode("words").alias("word"))
-    hot = materialize(some.groupBy("word").agg(F.ceil(F.count("*") * share / HOT_ROWS).alias("g")).where("g > 1"), "hot")
+    hot = materialize(_hot_words(lead), "hot")
     many = hot.count()
     steps = math.ceil(SIZE_STEPS * math.log2(1 / threshold)) + 1
     fits = (F.abs(F.col("g1").bitwiseAND(1023) - F.col("g2").bitwiseAND(1023)) <= steps) & (F.col("g1") < F.col("g2"))
