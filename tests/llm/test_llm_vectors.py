@@ -284,3 +284,12 @@ def test_coverage(spark):
     assert sorted(got) == list(range(len(x))) and got[40]["representative"] == 40
     assert all(s[i, r["representative"]] == max(s[i, j] for j in (3, 40, 99)) and r["distance"] == pytest.approx(np.sqrt(max(0, 2 - 2 * s[i, r["representative"]])), abs=2e-3) for i, r in got.items())
     assert diverse.coverage(frame(spark, rows_of(x)), spark.createDataFrame([], "idx long"), DIM).count() == 0
+
+
+def test_cells_are_sent_without_keys(spark):
+    """A vector's hash is made again where it is needed; copies and lone vectors come out as before."""
+    assert "key" not in neighbours._CELL
+    eye = [[float(i == j) for j in range(4)] for i in range(4)]
+    rows = [(i, eye[i]) for i in range(4)] + [(9, eye[2]), (11, eye[2])]
+    found = neighbours.nearest_neighbours(spark.createDataFrame(rows, "idx long, embedding array<float>").repartition(3), 2, 4, least=0.9)
+    assert {(r["idx"], r["neighbour"]) for r in found.collect()} == {(a, b) for a in (2, 9, 11) for b in (2, 9, 11) if a != b}

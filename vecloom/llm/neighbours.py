@@ -254,7 +254,7 @@ def nearest_neighbours(
 
         def rows(batch, row, at, part, to, need):
             taken = batch.take(pa.array(row))
-            return pa.record_batch([pa.array(at), pa.array(part.astype(np.int8)), pa.array(to.astype(np.int32)), pa.array(need), *(taken.column(c) for c in ("key", "ids", "x"))], names=list(_CELL))
+            return pa.record_batch([pa.array(at), pa.array(part.astype(np.int8)), pa.array(to.astype(np.int32)), pa.array(need), *(taken.column(c) for c in ("ids", "x"))], names=list(_CELL))
 
         return run
 
@@ -268,7 +268,7 @@ def nearest_neighbours(
         role, to = table.column("role").to_numpy(), table.column("list").to_numpy()
         x = unit_rows(from_binary(table.column("x"), "float32", dim).astype(np.float64))
         b, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        ids, keys = table.column("ids").to_pylist(), table.column("key").to_pylist()
+        ids, keys = table.column("ids").to_pylist(), [xxhash.xxh3_128_digest(v) for v in table.column("x").to_pylist()]  # made again, not sent
         held: dict[bytes, int] = {}  # copies from other batches are in the same cell: they become one row
         for i in b.tolist():
             at = held.setdefault(keys[i], i)
@@ -295,10 +295,12 @@ def nearest_neighbours(
         row, sim, named = row[order], sim[order], named[order]
         start = np.searchsorted(row, np.arange(len(q)))
         top = np.arange(len(row)) - start[row] <= k
+        if one_table:  # who has found itself alone has found nothing; copies are stored beside each other, so all of them are named
+            top &= (np.bincount(row, minlength=len(q))[row] > 1) | (named != rep[q][row])
         row, sim, named = row[top], sim[top], named[top]
         some, begin = np.unique(row, return_index=True)
         pairs = pa.StructArray.from_arrays([pa.array(-sim), pa.array(named.astype(np.int64))], names=["s", "id"])
-        return pa.table({"key": table.column("key").take(pa.array(q[some])), "best": pa.ListArray.from_arrays(pa.array(np.r_[begin, len(row)].astype(np.int32)), pairs)})
+        return pa.table({"key": pa.array([keys[i] for i in q[some].tolist()], pa.binary()), "best": pa.ListArray.from_arrays(pa.array(np.r_[begin, len(row)].astype(np.int32)), pairs)})
 
     found = cells.groupBy("cell").applyInArrow(search, "key binary, best array<struct<s:double,id:bigint>>")
     best = found.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
@@ -307,7 +309,7 @@ def nearest_neighbours(
     return others.select("idx", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("neighbour"), (-F.col("c.s")).alias("similarity"))
 
 
-_CELL = {"cell": "long", "role": "tinyint", "list": "int", "need": "float", "key": "binary", "ids": "array<long>", "x": "binary"}
+_CELL = {"cell": "long", "role": "tinyint", "list": "int", "need": "float", "ids": "array<long>", "x": "binary"}
 
 
 def _classes(vectors: DataFrame, k: int, dim: int, id_col: str, vector_col: str) -> DataFrame:
